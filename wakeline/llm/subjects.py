@@ -1,13 +1,16 @@
 """Subject areas of documents by subject-specific language models.
 
-1. From at most ``sample`` labelled documents an interpolated bigram model is trained per
+1. One pass over all documents turns each text into word hashes; corpus counts, training
+   and scoring read that table, never the texts again.
+2. From at most ``sample`` labelled documents an interpolated bigram model is trained per
    subject: a mixture of its bigrams, its words and the background. The background is
    what the subjects share (the median subject's rate of a word), smoothed with the
    counts over the whole corpus, so that a subject that fills a quarter of the corpus
    does not become background itself.
-2. One pass over all documents turns each text into numbers of model words; the corpus
-   counts come from that table, and the scoring reads it again without the texts.
-3. Per document, tokens are shared out among the subjects and the background by their
+3. The word models are then re-estimated over the whole corpus from the documents that
+   they place clearly in a single subject, ``rounds`` times. Few or wrong labels so weigh
+   little, and words that no label covers are learnt.
+4. Per document, tokens are shared out among the subjects and the background by their
    per-token likelihoods (the cross-entropy of the mixture is minimised by a few rounds
    of expectation maximisation). A word that several subjects use is so explained by the
    subject that the rest of the text speaks for. A subject is accepted when its share is
@@ -23,8 +26,9 @@ every corpus size; empty in, empty out.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ CAMEL = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+")
 
 #: Bounds of the sample and of the model, whatever the size of the corpus.
 SAMPLE, MOST_WORDS, MOST_PAIRS = 20_000, 50_000, 100_000
+#: Words in fewer documents are not modelled.
+LEAST_DOCS = 3
 #: Weights of bigrams, words and background in the interpolated model.
 LAMBDA = (0.25, 0.70, 0.05)
 
@@ -57,81 +63,38 @@ def tokens(text: str) -> list[str]:
 @dataclass
 class Model:
     subjects: list[str]
-    words: list[str]
+    words: np.ndarray  # sorted word hashes
     unigram: np.ndarray  # words x subjects: probability within a subject
-    shared: np.ndarray  # words: the median subject's rate
+    telling: np.ndarray  # words x subjects: does the subject use the word significantly more than the corpus
+    rate: np.ndarray  # words: rate over the whole corpus
+    spread: np.ndarray  # words: share of all documents that have it
     pairs: np.ndarray  # sorted keys previous * len(words) + word
     bigram: np.ndarray  # pairs x subjects: probability after the previous word
 
+    def background(self) -> np.ndarray:
+        return 0.98 * np.median(self.unigram, axis=1) + 0.02 * self.rate + 1e-8
 
-def _counts(labelled: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Word and pair counts per subject, with the documents they occur in."""
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among the model words, -1 where it has none."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            subject, prev, word, n = [], [], [], []
-            for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = tokens(text)
-                seen: dict[tuple[str, str], int] = {}
-                for a, b in zip([""] + ws, ws):
-                    seen[("", b)] = seen.get(("", b), 0) + 1
-                    if a:
-                        seen[(a, b)] = seen.get((a, b), 0) + 1
-                for (a, b), k in seen.items():
-                    subject.append(s), prev.append(a), word.append(b), n.append(k)
-            yield pa.RecordBatch.from_pydict({"subject": pa.array(subject, pa.string()), "prev": pa.array(prev, pa.string()), "word": pa.array(word, pa.string()), "n": pa.array(n, pa.int64())})
-
-    whole = labelled.mapInArrow(count, "subject string, prev string, word string, n long").groupBy("subject", "prev", "word").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")
-    )
-    return whole.where("prev = ''"), whole.where(f"prev <> '' and docs >= {least_docs}")
-
-
-def train(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, least_docs: int = 3) -> Model | None:
-    """The model of a bounded sample of labelled documents; None without labels."""
-    chosen = labels.where("doc_id is not null and subject is not null").distinct().orderBy(F.xxhash64("doc_id"), "subject").limit(sample)
-    labelled = chosen.join(documents.where("text is not null").select("doc_id", "text"), "doc_id").select("subject", "text").persist()
-    single, double = _counts(labelled, least_docs)
-    top = single.groupBy("word").agg(F.sum("docs").alias("d"), F.max("docs").alias("m")).where(f"m >= {least_docs}")
-    kept = top.orderBy(F.desc("d"), "word").limit(MOST_WORDS).select("word")
-    rows = single.join(kept, "word").select("subject", "word", "n").collect()  # at most MOST_WORDS words by subject
-    if not rows:
-        labelled.unpersist()
-        return None
-    subjects, words = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    si, wi = {s: i for i, s in enumerate(subjects)}, {w: i for i, w in enumerate(words)}
-    uni = np.zeros((len(words), len(subjects)))
-    for s, w, n in rows:
-        uni[wi[w], si[s]] = n
-    total = {r[0]: r[1] for r in single.groupBy("subject").agg(F.sum("n")).collect()}
-    uni /= np.array([max(total.get(s, 1), 1) for s in subjects])
-    pair_rows = (
-        double.groupBy("prev", "word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"))
-        .orderBy(F.desc("n"), "prev", "word").limit(MOST_PAIRS).select("prev", "word", "by").collect()
-    )
-    labelled.unpersist()
-    pair_rows = [r for r in pair_rows if r[0] in wi and r[1] in wi]
-    keys = np.array([wi[r[0]] * len(words) + wi[r[1]] for r in pair_rows], np.int64)
-    big = np.zeros((len(keys), len(subjects)))
-    for i, r in enumerate(pair_rows):
-        for s, n in r[2].items():
-            big[i, si[s]] = n
-    order = np.argsort(keys)
-    keys, big = keys[order], big[order]
-    before = uni * np.array([max(total.get(s, 1), 1) for s in subjects])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        big = np.where(before[keys // len(words)] > 0, big / before[keys // len(words)], 0) if len(keys) else big
-    return Model(subjects, words, uni, np.median(uni, axis=1), keys, big)
-
-
-def numbered(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, words): each document as the numbers of its model words, -1 at gaps. Written once."""
-    index = {w: i for i, w in enumerate(model.words)}
+
+def hashed(documents: DataFrame) -> DataFrame:
+    """(doc_id, words): each document as the 32-bit hashes of its words. Written once."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = index.get
+        known: dict[str, int] = {}
         for batch in batches:
-            out = [np.fromiter((get(w, -1) for w in tokens(t or "")), np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            out = []
+            for text in batch.column(1).to_pylist():
+                ws = tokens(text or "")
+                for w in ws:
+                    if w not in known:
+                        if len(known) > 2_000_000:
+                            known.clear()
+                        known[w] = zlib.crc32(w.encode())
+                out.append(np.fromiter((known.get(w) or zlib.crc32(w.encode()) for w in ws), np.uint32, len(ws)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
     path = scratch(documents.sparkSession, "words")
@@ -139,23 +102,87 @@ def numbered(documents: DataFrame, model: Model) -> DataFrame:
     return documents.sparkSession.read.parquet(path)
 
 
-def corpus_rates(docs: DataFrame, n_words: int) -> np.ndarray:
-    """Rate of each model word over the whole corpus; each task sends one row per word."""
+def _open(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """All hashes of a batch, the document that each belongs to, and the number of documents."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), np.uint32), np.repeat(np.arange(len(held)), [len(h) // 4 for h in held]), len(held)
+
+
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words to model, their rates and their spread over the whole corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_words + 1, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)
-            total += np.bincount(ids + 1, minlength=n_words + 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at - 1, pa.int64()), pa.array(total[at])], names=["word", "n"])
+            hashes, doc, _ = _open(batch.column(0))
+            if not len(hashes):
+                continue
+            pair = np.unique((hashes.astype(np.uint64) << np.uint64(31)) | doc.astype(np.uint64), return_counts=True)
+            words, first = np.unique(pair[0] >> np.uint64(31), return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words.astype(np.int64)), pa.array(np.diff(np.r_[first, len(pair[0])])), pa.array(np.add.reduceat(pair[1], first))], names=["word", "docs", "n"]
+            )
+
+    counted = docs.select("words").mapInArrow(count, "word long, docs long, n long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).persist()
+    total, n_docs = counted.agg(F.sum("n")).first()[0] or 1, max(docs.count(), 1)
+    top = counted.where(f"docs >= {LEAST_DOCS}").orderBy(F.desc("docs"), "word").limit(MOST_WORDS).select("word", "n", "docs").collect()
+    counted.unpersist()
+    top.sort()
+    return np.array([r[0] for r in top], np.uint32), np.array([r[1] for r in top], float) / total, np.array([r[2] for r in top], float) / n_docs
+
+
+def _telling(seen: np.ndarray, sizes: np.ndarray, spread: np.ndarray, least_z: float) -> np.ndarray:
+    """Which words a subject's documents have significantly more often than all documents,
+    and four times as often as those of the other subjects.
+
+    ``seen`` counts documents by word and subject. A word that chance or a programming
+    language brought into a few labelled documents says nothing about their subject."""
+    p = spread[:, None]
+    z = (seen - sizes * p) / np.sqrt(np.maximum(sizes * p * (1 - p), 1e-9))
+    other = (seen.sum(1, keepdims=True) - seen + 0.5) / np.maximum(sizes.sum() - sizes, 1)
+    return (z >= least_z) & (seen >= np.where(sizes < 6, 1, 2)) & (seen / np.maximum(sizes, 1) >= 4 * other)
+
+
+def train(docs: DataFrame, labels: DataFrame, words: np.ndarray, rate: np.ndarray, spread: np.ndarray, *, sample: int = SAMPLE) -> Model | None:
+    """The model of a bounded sample of labelled documents; None without any."""
+    chosen = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "subject").limit(sample)
+    subjects = sorted(r[0] for r in chosen.select("subject").distinct().collect())  # at most ``sample``
+    if not subjects or not len(words):
+        return None
+    v, shape = len(words), (len(words), len(subjects))
+    empty = Model(subjects, words, np.zeros(shape), np.zeros(shape, bool), rate, spread, np.array([], np.int64), np.zeros((0, len(subjects))))
 
-    rows = docs.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect()  # at most n_words + 1
-    out = np.zeros(n_words)
-    for w, n in rows:
-        if w >= 0:
-            out[w] = n
-    return out / max(sum(n for _, n in rows), 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, doc, _ = _open(batch.column(1))
+            ids = empty.number(hashes)
+            place = np.array([subjects.index(s) for s in batch.column(0).to_pylist()], np.int64)
+            prev = np.r_[-1, ids[:-1]] if len(ids) else ids
+            prev = np.where(np.r_[True, doc[1:] == doc[:-1]], prev, -1) if len(ids) else ids
+            one, two = ids >= 0, (ids >= 0) & (prev >= 0)
+            once = np.unique(doc[one].astype(np.int64) * v + ids[one])
+            keys = np.r_[-1 - ids[one], -1 - v - once % v, prev[two].astype(np.int64) * v + ids[two]]
+            of = place[np.r_[doc[one], once // v, doc[two]].astype(np.int64)]
+            at, n = np.unique(np.stack([of, keys]), axis=1, return_counts=True) if len(keys) else (np.zeros((2, 0), np.int64), np.zeros(0, int))
+            yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(n)], names=["subject", "key", "n"])
+
+    counted = chosen.join(docs, "doc_id").select("subject", "words").mapInArrow(count, "subject long, key long, n long").groupBy("subject", "key").agg(F.sum("n").alias("n")).persist()
+    both = np.zeros((2 * v, len(subjects)))
+    for s, key, n in counted.where("key < 0").collect():  # at most twice MOST_WORDS by subject
+        both[-1 - key, s] = n
+    uni, seen = both[:v], both[v:]
+    sizes = np.zeros(len(subjects))
+    for s, n in chosen.join(docs.select("doc_id"), "doc_id").groupBy("subject").count().collect():
+        sizes[subjects.index(s)] = n
+    best = counted.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(MOST_PAIRS).select("key")
+    rows = counted.join(best, "key").select("key", "subject", "n").collect()  # at most MOST_PAIRS by subject
+    counted.unpersist()
+    pairs = np.unique(np.array([r[0] for r in rows], np.int64))
+    big = np.zeros((len(pairs), len(subjects)))
+    for key, s, n in rows:
+        big[np.searchsorted(pairs, key), s] = n
+    before = uni[pairs // v]
+    big = np.divide(big, before, out=np.zeros_like(big), where=before > 0)
+    return replace(empty, unigram=uni / np.maximum(uni.sum(0), 1), telling=_telling(seen, sizes, spread, 3.5), pairs=pairs, bigram=big)
 
 
 def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +193,7 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
     prev[np.r_[True, doc[1:] != doc[:-1]]] = -1
     keep = ids >= 0
     ids, doc, prev = ids[keep], doc[keep], prev[keep]
-    ratio_by_word = m.unigram / background[:, None]
-    telling = ratio_by_word.max(1) > 3.0  # the rest is background in any mixture
+    telling = m.telling.any(1)  # the rest is background in any mixture
     keep = telling[ids]
     length = np.bincount(doc, minlength=n_docs)
     ids, doc, prev = ids[keep], doc[keep], prev[keep]
@@ -183,6 +209,7 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
         weight[hit] = 1.0
     p /= weight[:, None]
     ratio = np.clip(p / background[ids][:, None], 1e-3, 500.0)
+    ratio = np.where(m.telling[ids], ratio, np.minimum(ratio, 1.0))
     theta = np.full((n_docs, s), 0.5 / s)
     rest = np.full(n_docs, 0.5)
     share = np.zeros((len(ids), s))
@@ -204,25 +231,67 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
     return got, words, saved
 
 
-def subjects_of(documents: DataFrame, labels: DataFrame, *, least_tokens: float = 2.2, least_words: int = 2, least_nats: float = 5.0, sample: int = SAMPLE) -> DataFrame:
+def retrained(docs: DataFrame, model: Model, clear: float = 6.0) -> Model:
+    """The word models re-estimated from every document that is clearly of one subject."""
+    background = model.background()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = len(model.words)
+        total, seen = np.zeros((v, len(model.subjects))), np.zeros((v + 1, len(model.subjects)))
+        for batch in batches:
+            hashes, doc, n = _open(batch.column(0))
+            if not len(hashes):
+                continue
+            ids = model.number(hashes)
+            got, words, saved = score(ids, doc, n, model, background, rounds=6)
+            first = got.argmax(1)
+            ordered = np.sort(got, axis=1)
+            second = ordered[:, -2] if got.shape[1] > 1 else np.zeros(n)
+            sure = (ordered[:, -1] >= clear) & (second < 1.0) & (words[np.arange(n), first] >= 3)
+            use = sure[doc] & (ids >= 0)
+            np.add.at(total, (ids[use], first[doc[use]]), 1)
+            once = np.unique(doc[use].astype(np.int64) * v + ids[use])
+            np.add.at(seen, (once % v, first[once // v]), 1)
+            seen[v] += np.bincount(first[sure], minlength=len(model.subjects))  # the last row counts documents
+        w, s = np.nonzero(seen)
+        n = np.vstack([total, np.zeros(len(model.subjects))])
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(s), pa.array(n[w, s]), pa.array(seen[w, s])], names=["word", "subject", "n", "docs"])
+
+    rows = docs.select("words").mapInArrow(count, "word long, subject long, n double, docs double").groupBy("word", "subject").agg(F.sum("n"), F.sum("docs")).collect()  # at most MOST_WORDS by subject
+    uni, seen = np.zeros_like(model.unigram), np.zeros((len(model.words) + 1, len(model.subjects)))
+    for w, s, n, docs_with in rows:
+        seen[w, s] = docs_with
+        if w < len(uni):
+            uni[w, s] = n
+    # a subject with hardly a clear document keeps what its labels say
+    known = seen[-1] >= 5
+    return replace(
+        model,
+        unigram=np.where(known, uni / np.maximum(uni.sum(0), 1), model.unigram),
+        telling=np.where(known, _telling(seen[:-1], seen[-1], model.spread, 5.0), model.telling),
+    )
+
+
+def subjects_of(documents: DataFrame, labels: DataFrame, *, least_tokens: float = 2.2, least_words: int = 2, least_nats: float = 5.0, sample: int = SAMPLE, rounds: int = 3) -> DataFrame:
     """(doc_id, subject) of every subject that a document deals with."""
-    model = train(documents, labels, sample=sample)
+    docs = hashed(documents)
     schema = "doc_id long, subject string"
+    model = train(docs, labels, *vocabulary(docs), sample=sample)
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
-    docs = numbered(documents, model)
-    rate = corpus_rates(docs, len(model.words))
-    background = 0.98 * model.shared + 0.02 * rate + 1e-8
+    for _ in range(rounds):
+        model = retrained(docs, model)
+    background = model.background()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.subjects, object)
         for batch in batches:
-            held = batch.column(1).to_pylist()
-            ids = np.frombuffer(b"".join(held), np.int32)
-            doc = np.repeat(np.arange(len(held)), [len(h) // 4 for h in held])
-            got, words, saved = score(ids, doc, len(held), model, background) if len(ids) else (np.zeros((len(held), 1)),) * 3
+            hashes, doc, n = _open(batch.column(1))
+            if not len(hashes):
+                continue
+            got, words, saved = score(model.number(hashes), doc, n, model, background)
             d, j = np.nonzero((got >= least_tokens) & (words >= least_words) & (saved >= least_nats))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(names[j] if len(j) else [], pa.string())], names=["doc_id", "subject"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(names[j], pa.string())], names=["doc_id", "subject"])
 
     return docs.mapInArrow(judge, schema)
 
