@@ -2,7 +2,7 @@
 
 1. Space and time are cut into coarse cells, and only fixes in a cell that some other
    mover also touches go on. One small aggregation, and open sea drops out.
-2. The rest is cut into fine cells little larger than the search distance. Movers, not
+2. The rest is cut into finer cells a few times the search distance. Movers, not
    fixes, are paired per fine cell, so a mover with a third of all fixes never meets
    itself; then the fixes of the two movers in that cell are compared exactly.
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.geo import EARTH_M, haversine_m
 
-CELL = ["row", "col", "slot"]
+def _slot(us: str, length: int) -> Column:
+    """Number of the time slot, rounded down for times before the epoch too."""
+    return F.expr(f"(({us}) - pmod({us}, {length}L)) div {length}L")
 
 
 def _columns_in(row: Column, height: float) -> Column:
@@ -37,7 +39,8 @@ def _columns_in(row: Column, height: float) -> Column:
 def in_cells(fixes: DataFrame, *, size_m: float, slot_us: int, distance_m: float, window_us: int) -> DataFrame:
     """Fixes (mmsi, us, lon, lat) entered into their home cell and all cells within reach.
 
-    Adds row, col, slot and ``home``."""
+    Adds ``cell``, a hash of row, column and time slot (where two cells collide, the exact
+    test still decides), and ``home``."""
     height = math.degrees(size_m / EARTH_M)
     reach = math.degrees(distance_m / EARTH_M) * 1.0001
     bands = fixes.withColumn(
@@ -51,15 +54,14 @@ def in_cells(fixes: DataFrame, *, size_m: float, slot_us: int, distance_m: float
     cols = bands.withColumns({"turn": turn, "n": n}).withColumn(
         "col", F.explode(F.array_distinct(F.transform(F.sequence(low, F.least(high, low + F.col("n") - 1)), lambda c: F.pmod(c, F.col("n")))))
     )
-    us = F.col("us")
     return cols.withColumn(
-        "slot", F.explode(F.sequence(F.expr(f"(us - {window_us}) div {slot_us}"), F.expr(f"(us + {window_us}) div {slot_us}")))
+        "slot", F.explode(F.sequence(_slot(f"us - {window_us}L", slot_us), _slot(f"us + {window_us}L", slot_us)))
     ).withColumn(
         "home",
         (F.col("row") == F.floor((F.col("lat") + 90) / height))
         & (F.col("col") == F.pmod(F.floor((F.col("lon") + 180) * F.col("n") / 360.0), F.col("n")))
-        & (F.col("slot") == F.floor(us / slot_us)),
-    ).drop("turn", "n")
+        & (F.col("slot") == _slot("us", slot_us)),
+    ).withColumn("cell", F.xxhash64("row", "col", "slot")).drop("turn", "n", "row", "col", "slot")
 
 
 def near_pairs(positions: DataFrame, *, distance_m: float = 400.0, window_s: int = 300) -> DataFrame:
@@ -69,18 +71,18 @@ def near_pairs(positions: DataFrame, *, distance_m: float = 400.0, window_s: int
         "mmsi", F.unix_micros("reported_at").alias("us"), "lon", "lat"
     ).where("mmsi is not null and us is not null")
     bounds = {"distance_m": distance_m, "window_us": window}
-    coarse = in_cells(fixes, size_m=10 * distance_m, slot_us=6 * window, **bounds)
-    shared = coarse.groupBy(*CELL).agg(F.min("mmsi").alias("lo"), F.max("mmsi").alias("hi")).where("lo < hi").select(*CELL)
-    met = coarse.where("home").join(shared, CELL, "left_semi").select("mmsi", "us", "lon", "lat").distinct()
-    fine = in_cells(met, size_m=2 * distance_m, slot_us=2 * window, **bounds)
-    members = fine.groupBy(*CELL, "mmsi").agg(F.max("home").alias("home"))
-    lower, upper = members.where("home").select(*CELL, F.col("mmsi").alias("key_a")), members.select(*CELL, F.col("mmsi").alias("key_b"))
-    movers = lower.join(upper, CELL).where("key_a < key_b")
-    a = fine.where("home").select(*CELL, F.col("mmsi").alias("key_a"), F.col("us").alias("us_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    b = fine.select(*CELL, F.col("mmsi").alias("key_b"), F.col("us").alias("us_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    coarse = in_cells(fixes, size_m=5 * distance_m, slot_us=3 * window, **bounds)
+    shared = coarse.groupBy("cell").agg(F.min("mmsi").alias("lo"), F.max("mmsi").alias("hi")).where("lo < hi").select("cell")
+    met = coarse.where("home").join(shared, "cell", "left_semi").select("mmsi", "us", "lon", "lat").distinct()
+    fine = in_cells(met, size_m=4 * distance_m, slot_us=4 * window, **bounds)
+    members = fine.groupBy("cell", "mmsi").agg(F.max("home").alias("home"))
+    lower, upper = members.where("home").select("cell", F.col("mmsi").alias("key_a")), members.select("cell", F.col("mmsi").alias("key_b"))
+    movers = lower.join(upper, "cell").where("key_a < key_b")
+    a = fine.where("home").select("cell", F.col("mmsi").alias("key_a"), F.col("us").alias("us_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
+    b = fine.select("cell", F.col("mmsi").alias("key_b"), F.col("us").alias("us_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     return (
-        movers.join(a, [*CELL, "key_a"])
-        .join(b, [*CELL, "key_b"])
+        movers.join(a, ["cell", "key_a"])
+        .join(b, ["cell", "key_b"])
         .where(
             (F.abs(F.col("us_a") - F.col("us_b")) <= window)
             & (haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= distance_m)
