@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.io import table
-from wakeline.llm import leaks
+from wakeline.llm import destinations, leaks, packing, subjects
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return destinations.bound_for(table(spark, folder, "raw_messages"), table(spark, folder, "ports"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, folder, "documents")), table(spark, folder, "containers"))
+
+
+def p8_unused(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.unused(p8_packed(spark, folder), table(spark, folder, "containers"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,5 +28,16 @@ def p9_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.reparameterised(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_reparameterised)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(p10_found(spark, folder), table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
+}
 ORACLES: dict[str, str] = {}
