@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.io import table
-from wakeline.llm import destinations, leaks, packing, subjects
+from wakeline.llm import destinations, leaks, names, packing, subjects
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_operator(table(spark, folder, "operators"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +42,6 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
+    for f in (p3_found, p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
 }
 ORACLES: dict[str, str] = {}
