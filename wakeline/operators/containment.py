@@ -136,9 +136,9 @@ def containing(points: DataFrame, cover: DataFrame, key: str, lon: str = "lon",
     if rows <= BROADCAST_ROWS:
         met = keyed.join(F.broadcast(cover), "cell")
     else:
-        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS).cast("long")))
         met = salted.join(
-            cover.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["cell", "salt"]
+            cover.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["cell", "salt"]
         )
     return met.where(F.when(F.col("interior"), True).otherwise(geo.inside(F.col("lon"), F.col("lat"), F.col("edges")))).select(
         key, "region_id"

@@ -19,6 +19,7 @@ itself; empty in, empty out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def in_cells(fixes: DataFrame, *, size_m: float, slot_us: int, distance_m: float
     Adds ``cell``, a hash of row, column and time slot (where two cells collide, the exact
     test still decides), and ``home``."""
     height = math.degrees(size_m / EARTH_M)
-    reach = math.degrees(distance_m / EARTH_M) * 1.0001
+    reach = math.degrees(distance_m / EARTH_M) * 1.01  # wider than any figure of the earth makes it
     bands = fixes.withColumn(
         "row", F.explode(F.sequence(F.floor((F.greatest(F.col("lat") - reach, F.lit(-90.0)) + 90) / height), F.floor((F.least(F.col("lat") + reach, F.lit(90.0)) + 90) / height)))
     )
@@ -64,8 +65,9 @@ def in_cells(fixes: DataFrame, *, size_m: float, slot_us: int, distance_m: float
     ).withColumn("cell", F.xxhash64("row", "col", "slot")).drop("turn", "n", "row", "col", "slot")
 
 
-def near_pairs(positions: DataFrame, *, distance_m: float = 400.0, window_s: int = 300) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: movers with fixes within the distance and time of each other."""
+def meetings(positions: DataFrame, *, distance_m: float, window_s: int, metres: Callable[..., Column] = haversine_m) -> DataFrame:
+    """Pairs of fixes of two movers within the distance and time of each other:
+    (key_a, key_b, us_a, us_b, coordinates, metres), key_a < key_b."""
     window = window_s * 1_000_000
     fixes = positions.where("abs(lat) <= 90 and abs(lon) <= 180").select(
         "mmsi", F.unix_micros("reported_at").alias("us"), "lon", "lat"
@@ -78,15 +80,17 @@ def near_pairs(positions: DataFrame, *, distance_m: float = 400.0, window_s: int
     members = fine.groupBy("cell", "mmsi").agg(F.max("home").alias("home"))
     lower, upper = members.where("home").select("cell", F.col("mmsi").alias("key_a")), members.select("cell", F.col("mmsi").alias("key_b"))
     movers = lower.join(upper, "cell").where("key_a < key_b")
-    a = fine.where("home").select("cell", F.col("mmsi").alias("key_a"), F.col("us").alias("us_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    b = fine.select("cell", F.col("mmsi").alias("key_b"), F.col("us").alias("us_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    side = lambda s: [F.col(c).alias(f"{n}_{s}") for c, n in (("mmsi", "key"), ("us", "us"), ("lon", "lon"), ("lat", "lat"))]
+    a, b = fine.where("home").select("cell", *side("a")), fine.select("cell", *side("b"))
     return (
         movers.join(a, ["cell", "key_a"])
         .join(b, ["cell", "key_b"])
-        .where(
-            (F.abs(F.col("us_a") - F.col("us_b")) <= window)
-            & (haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= distance_m)
-        )
-        .select("key_a", "key_b")
-        .distinct()
+        .withColumn("metres", metres(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")))
+        .where((F.abs(F.col("us_a") - F.col("us_b")) <= window) & (F.col("metres") <= distance_m))
+        .drop("cell")
     )
+
+
+def near_pairs(positions: DataFrame, *, distance_m: float = 400.0, window_s: int = 300) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: movers with fixes within the distance and time of each other."""
+    return meetings(positions, distance_m=distance_m, window_s=window_s).select("key_a", "key_b").distinct()
