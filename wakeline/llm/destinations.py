@@ -219,7 +219,7 @@ def bound_for(messages: DataFrame, ports: DataFrame, positions: DataFrame | None
         met = rows.join(F.broadcast(known), "text")
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-        spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         met = rows.withColumn("salt", salt).join(spread, ["text", "salt"])
     plainly = met.where("size(ids) <= 1").select("id", F.coalesce(F.try_element_at("ids", F.lit(1)), F.lit(-1)).alias("port_id"))
     several = met.where("size(ids) > 1").select("id", "mmsi", F.explode("ids").alias("port_id"))
