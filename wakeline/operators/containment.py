@@ -39,29 +39,32 @@ def cell_key(lon: Column, lat: Column, level: Column) -> Column:
     return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftleft(ix, 28)).bitwiseOR(iy)
 
 
-def _touched(edges: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Which edges meet the closed box: slab clipping of the segment parameter."""
+def _touched(edges: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """boxes x edges: which edges meet which closed boxes, by clipping the segment parameter."""
     ax, ay, bx, by = edges.T
+    x0, y0, x1, y1 = (c[:, None] for c in boxes.T)
+    lo, hi = np.zeros((len(boxes), len(edges))), np.ones((len(boxes), len(edges)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        lo, hi = np.zeros(len(edges)), np.ones(len(edges))
         for a, d, low, high in ((ax, bx - ax, x0, x1), (ay, by - ay, y0, y1)):
             t0, t1 = (low - a) / d, (high - a) / d
-            flat = d == 0
-            near, far = np.minimum(t0, t1), np.maximum(t0, t1)
-            out = flat & ((a < low) | (a > high))
-            lo = np.where(flat, lo, np.maximum(lo, near))
-            hi = np.where(out, -1, np.where(flat, hi, np.minimum(hi, far)))
+            flat, off = (d == 0), (a < low) | (a > high)
+            lo = np.where(flat, lo, np.maximum(lo, np.minimum(t0, t1)))
+            hi = np.where(flat, np.where(off, -1.0, hi), np.minimum(hi, np.maximum(t0, t1)))
     return lo <= hi
 
 
-def _holds(edges: np.ndarray, x: float, y: float) -> bool:
+def _holds(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie inside, by crossings of a ray to the right."""
     ax, ay, bx, by = edges.T
+    x, y = x[:, None], y[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        return bool((((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)).sum() % 2)
+        return (((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)).sum(1) % 2 == 1
 
 
-def cover_polygon(geojson: str | None, split: int = 32) -> list[tuple[int, int, bool, np.ndarray]]:
-    """(level, cell, interior, edges) rows of one polygon; none if it cannot be read."""
+def cover_polygon(geojson: str | None, split: int = 8) -> list[tuple[int, int, bool, np.ndarray]]:
+    """(level, cell, interior, edges) rows of one polygon; none if it cannot be read.
+
+    Cells that an edge meets are split until they are at most 1/``split`` of the polygon."""
     try:
         rings = [np.asarray(r, float)[:, :2] for r in json.loads(geojson)["coordinates"]]
         edges = np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings])
@@ -74,28 +77,34 @@ def cover_polygon(geojson: str | None, split: int = 32) -> list[tuple[int, int,
     first = max([i for i, v in enumerate(LEVELS) if 360 / 2**v >= extent], default=0)
     last = min([i for i, v in enumerate(LEVELS) if 360 / 2**v <= extent / split], default=len(LEVELS) - 1)
     size = 360 / 2 ** LEVELS[first]
-    todo = [
-        (first, ix, iy)
-        for ix in range(int((x0 + 180) // size), int((x1 + 180) // size) + 1)
-        for iy in range(int((y0 + 90) // size), int((y1 + 90) // size) + 1)
-    ]
+    ix, iy = (m.ravel() for m in np.meshgrid(np.arange((x0 + 180) // size, (x1 + 180) // size + 1), np.arange((y0 + 90) // size, (y1 + 90) // size + 1)))
+    ix, iy = ix.astype(np.int64), iy.astype(np.int64)
     rows = []
-    while todo:
-        i, ix, iy = todo.pop()
-        size = 360 / 2 ** LEVELS[i]
-        cx0, cy0 = ix * size - 180, iy * size - 90
-        cx1, cy1, pad = cx0 + size, cy0 + size, size * 1e-9
-        key = (LEVELS[i] << 56) | (ix << 28) | iy
-        if not _touched(edges, cx0 - pad, cy0 - pad, cx1 + pad, cy1 + pad).any():
-            if _holds(edges, (cx0 + cx1) / 2, (cy0 + cy1) / 2):
-                rows.append((LEVELS[i], key, True, edges[:0]))
-        elif i < last:
-            n = 2 ** (LEVELS[i + 1] - LEVELS[i])
-            todo += [(i + 1, ix * n + a, iy * n + b) for a in range(n) for b in range(n)]
-        else:
-            ys = np.sort(edges[:, [1, 3]], axis=1)
-            matter = (ys[:, 1] >= cy0 - pad) & (ys[:, 0] <= cy1 + pad) & (edges[:, [0, 2]].max(1) >= cx0 - pad)
-            rows.append((LEVELS[i], key, False, edges[matter]))
+    for i in range(first, last + 1):
+        level, size = LEVELS[i], 360 / 2 ** LEVELS[i]
+        pad = size * 1e-9
+        kept = []
+        for at in range(0, len(ix), max(1, 2_000_000 // len(edges))):
+            cx, cy = ix[at : at + max(1, 2_000_000 // len(edges))], iy[at : at + max(1, 2_000_000 // len(edges))]
+            low_x, low_y = cx * size - 180, cy * size - 90
+            touched = _touched(edges, np.stack([low_x - pad, low_y - pad, low_x + size + pad, low_y + size + pad], axis=1))
+            some = touched.any(1)
+            inner = np.flatnonzero(~some)[_holds(edges, low_x[~some] + size / 2, low_y[~some] + size / 2)]
+            rows += [(level, (level << 56) | (int(a) << 28) | int(b), True, edges[:0]) for a, b in zip(cx[inner], cy[inner])]
+            if i < last:
+                kept.append((cx[some], cy[some]))
+                continue
+            ys, right = np.sort(edges[:, [1, 3]], axis=1), edges[:, [0, 2]].max(1)
+            for k in np.flatnonzero(some):
+                # what a ray to the right from within the cell can cross
+                matter = (ys[:, 1] >= low_y[k] - pad) & (ys[:, 0] <= low_y[k] + size + pad) & (right >= low_x[k] - pad)
+                rows.append((level, (level << 56) | (int(cx[k]) << 28) | int(cy[k]), False, edges[matter]))
+        if i < last:
+            n = 2 ** (LEVELS[i + 1] - level)
+            cx, cy = (np.concatenate(c) for c in zip(*kept))
+            steps = np.arange(n)
+            ix = (cx[:, None, None] * n + steps[None, :, None] + 0 * steps[None, None, :]).ravel()
+            iy = (cy[:, None, None] * n + steps[None, None, :] + 0 * steps[None, :, None]).ravel()
     return rows
 
 
@@ -115,6 +124,7 @@ def coverage(regions: DataFrame, region_id: str = "id", polygon: str = "polygon"
     return (
         regions.select(F.col(region_id).cast("long").alias("region_id"), F.col(polygon).alias("polygon"))
         .where("region_id is not null and polygon is not null")
+        .repartition(32, "region_id")  # regions are few and dear, more tasks than data would ask for
         .mapInPandas(build, COVER)
     )
 
