@@ -36,11 +36,14 @@ def identifier(payload: Column, *parts: Column) -> list[Column]:
     return [F.xxhash64(text).alias(KEY[0]), F.xxhash64(F.lit("second half"), F.sha1(text)).alias(KEY[1])]
 
 
-def identified(messages: DataFrame) -> DataFrame:
-    """(id, run, key_hi, key_lo) of every archived row; nothing else is carried on."""
+def identified(messages: DataFrame, run: Column | None = None) -> DataFrame:
+    """(id, run, key_hi, key_lo) of every archived row; nothing else is carried on.
+
+    ``run`` names the batch. A whole archive is loaded as a few runs by source."""
+    by_source = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(8))
     return messages.select(
         F.col("id"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(8)).cast("int").alias("run"),
+        (by_source if run is None else run).cast("int").alias("run"),
         *identifier(F.col("payload"), F.col("mmsi"), F.col("message_type")),
     )
 
@@ -58,13 +61,21 @@ class MessageStore:
         exists = self.spark.catalog.tableExists(name)
         rows = rows.repartition(self.buckets, *KEY)
         if exists:
-            rows.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+            # only the partitions that the rows belong to are replaced
+            mode = "spark.sql.sources.partitionOverwriteMode"
+            before = self.spark.conf.get(mode)
+            self.spark.conf.set(mode, "dynamic")
+            try:
+                rows.write.insertInto(name, overwrite=True)
+            finally:
+                self.spark.conf.set(mode, before)
             return
         writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}")
         (writer.partitionBy(*by) if by else writer).saveAsTable(name, format="parquet")
 
     def upsert(self, batch: DataFrame) -> MessageStore:
-        """Add or replace the runs named in ``batch`` (id, run, identifier)."""
+        """Add the runs of ``batch`` (id, run, identifier); runs that are there are replaced,
+        so a batch that is delivered again under its own run changes nothing."""
         won = batch.groupBy("run", *KEY).agg(F.min("id").alias("id")).select(*KEY, "id", "run")
         self._write(won, self.name, ["run"])
         return self
