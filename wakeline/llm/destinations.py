@@ -83,6 +83,8 @@ class Gazetteer:
         n = max(len(self.names), 1)
         self.idf = {t: math.log(1 + n / len(ids)) for t, ids in by_token.items()}
         self.most = math.log(1 + n)
+        for t in COMMON & set(self.idf):  # however rare in a short list
+            self.idf[t] = min(self.idf[t], 0.4 * self.most)
         self.by_token = dict(by_token)
         self.norm = {i: math.sqrt(sum(self.idf[t] ** 2 for t in set(ts))) for i, ts in self.names.items()}
         self.tokens, self.wholes = DeleteIndex(self.by_token), DeleteIndex(self.whole)

@@ -195,8 +195,8 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
     ids, doc, prev = ids[keep], doc[keep], prev[keep]
     telling = m.telling.any(1)  # the rest is background in any mixture
     keep = telling[ids]
-    length = np.bincount(doc, minlength=n_docs)
     ids, doc, prev = ids[keep], doc[keep], prev[keep]
+    length = np.bincount(doc, minlength=n_docs)  # words that tell nothing weigh for no side
     p = l1 * m.unigram[ids] + l0 * background[ids][:, None]
     weight = np.full(len(ids), l1 + l0)
     if len(m.pairs):
