@@ -220,7 +220,7 @@ def corpus(rng, n):
     docs, truth = [], {}
     for i in range(n):
         mine = rng.sample(sorted(TERMS), rng.choice([0, 1, 1, 1, 2]))
-        w = [rng.choice(plainly) for _ in range(40)] + [t for s in mine for t in rng.sample(TERMS[s], 5)]
+        w = [rng.choice(plainly) for _ in range(40)] + [rng.choice(TERMS[s]) for s in mine for _ in range(9)]
         if not mine:
             w.append(rng.choice(TERMS["space"]))  # a single word in passing
         rng.shuffle(w)

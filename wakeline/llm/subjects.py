@@ -231,7 +231,7 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
     return got, words, saved
 
 
-def retrained(docs: DataFrame, model: Model, clear: float = 6.0) -> Model:
+def retrained(docs: DataFrame, model: Model, clear: float = 4.0) -> Model:
     """The word models re-estimated from every document that is clearly of one subject."""
     background = model.background()
 
