@@ -12,7 +12,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     zoneless = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(zoneless) if zoneless else df
 
-
-def out_times(df: DataFrame) -> DataFrame:
-    """Instants as zoneless UTC times, the form in which results leave the engine."""
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})

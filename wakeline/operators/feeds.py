@@ -134,24 +134,21 @@ def in_box(lon: Column, lat: Column, a: str = "lon1", b: str = "lat1", c: str =
     return (lon >= x1) & (lon <= x2) & (lat >= y1) & (lat <= y2)
 
 
-#: Subscriptions are one row per open connection; more than this are joined by cell.
-MOST_SUBSCRIBERS = 100_000
-
-
 def live_feed(fixes: DataFrame, subscriptions: DataFrame, *, cell: float = 1.0) -> DataFrame:
     """Every fix for every subscriber whose box (lon1, lat1, lon2, lat2) holds it.
 
     Boxes are cut into grid cells and meet the fixes by cell, so nothing is compared with
     everything; a box larger than 4096 cells enters a coarser grid."""
-    s = subscriptions.withColumns({"x1": F.least("lon1", "lon2"), "x2": F.greatest("lon1", "lon2"), "y1": F.least("lat1", "lat2"), "y2": F.greatest("lat1", "lat2")})
-    big = ((F.col("x2") - F.col("x1")) / cell + 1) * ((F.col("y2") - F.col("y1")) / cell + 1) > 4096
-    s = s.withColumn("size", F.when(big, 16 * cell).otherwise(cell))
-    at = lambda v: F.floor(v / F.col("size"))
-    s = s.withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
-    s = s.select("subscriber", "x1", "x2", "y1", "y2", "size", "cx", "cy")
-    f = fixes.withColumn("size", F.explode(F.array(F.lit(cell), F.lit(16 * cell)))).withColumns({"cx": at(F.col("lon")), "cy": at(F.col("lat"))})
-    met = f.join(s, ["size", "cx", "cy"]).where(F.col("lon").between(F.col("x1"), F.col("x2")) & F.col("lat").between(F.col("y1"), F.col("y2")))
-    return met.select("subscriber", *fixes.columns)
+    s = subscriptions.select(
+        "subscriber", F.least("lon1", "lon2").alias("_x1"), F.greatest("lon1", "lon2").alias("_x2"), F.least("lat1", "lat2").alias("_y1"), F.greatest("lat1", "lat2").alias("_y2")
+    )
+    big = ((F.col("_x2") - F.col("_x1")) / cell + 1) * ((F.col("_y2") - F.col("_y1")) / cell + 1) > 4096
+    s = s.withColumn("_size", F.when(big, 16 * cell).otherwise(cell))
+    at = lambda v: F.floor(v / F.col("_size"))
+    s = s.withColumn("_cx", F.explode(F.sequence(at(F.col("_x1")), at(F.col("_x2"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("_y1")), at(F.col("_y2")))))
+    f = fixes.drop("subscriber").withColumn("_size", F.explode(F.array(F.lit(cell), F.lit(16 * cell)))).withColumns({"_cx": at(F.col("lon")), "_cy": at(F.col("lat"))})
+    met = f.join(s, ["_size", "_cx", "_cy"]).where(F.col("lon").between(F.col("_x1"), F.col("_x2")) & F.col("lat").between(F.col("_y1"), F.col("_y2")))
+    return met.select("subscriber", *[c for c in fixes.columns if c != "subscriber"])
 
 
 def route_alerts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -163,7 +160,7 @@ def route_alerts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
         F.explode(F.when(F.size("channels") == 0, any_c).otherwise(F.array_distinct("channels"))).alias("kc"),
         F.when(F.size("mmsis") == 0, any_m).otherwise(F.array_distinct("mmsis")).alias("ms"),
     ).select("adapter", "kc", F.explode("ms").alias("km"))
-    probe = events.withColumn("kc", F.explode(F.array(F.col("channel"), F.lit("*")))).withColumn("km", F.explode(F.array(F.coalesce("mmsi", F.lit(-2).cast("long")), F.lit(-1).cast("long"))))
+    probe = events.select("channel", "mmsi", "payload").withColumn("kc", F.explode(F.array(F.col("channel"), F.lit("*")))).withColumn("km", F.explode(F.array(F.coalesce("mmsi", F.lit(-2).cast("long")), F.lit(-1).cast("long"))))
     return probe.join(keys, ["kc", "km"]).select("adapter", "channel", "mmsi", "payload")
 
 

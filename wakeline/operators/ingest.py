@@ -66,18 +66,18 @@ def dedup_messages(messages: DataFrame, seen: DataFrame | None = None, *, order:
     however often one message was delivered."""
     span = int(window[:-1]) * {"s": 1, "m": 60, "h": 3600}[window[-1]] * 1_000_000
     at = F.unix_micros("received_at").alias("at")
-    rows = messages.withColumn("fingerprint", fingerprint(messages)).withColumn("slot", F.expr(f"unix_micros(received_at) div {span}"))
-    mine = rows.select("fingerprint", "slot", F.struct(at, F.col(order).cast("long").alias("by")).alias("r"))
+    rows = messages.withColumn("_print", fingerprint(messages)).withColumn("_slot", F.expr(f"unix_micros(received_at) div {span}"))
+    mine = rows.select(F.col("_print").alias("fingerprint"), F.col("_slot").alias("slot"), F.struct(at, F.col(order).cast("long").alias("by")).alias("r"))
     if seen is not None:
         past = seen.select("fingerprint", F.expr(f"unix_micros(first_seen) div {span}").alias("slot"), F.struct(F.unix_micros("first_seen").alias("at"), F.lit(-1).cast("long").alias("by")).alias("r"))
         mine = mine.unionByName(past)
     ends = mine.groupBy("fingerprint", "slot").agg(F.min("r").alias("lo"), F.max("r.at").alias("hi"))
     none = F.lit(None)
     near = ends.select("fingerprint", "slot", "lo", none.cast("long").alias("hi")).unionByName(ends.select("fingerprint", (F.col("slot") + 1).alias("slot"), F.lit(None).cast(ends.schema["lo"].dataType).alias("lo"), "hi"))
-    near = near.groupBy("fingerprint", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = near.groupBy(F.col("fingerprint").alias("_print"), F.col("slot").alias("_slot")).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
     me = F.struct(at, F.col(order).cast("long").alias("by"))
-    dup = F.coalesce(F.col("lo") < me, F.lit(False)) | F.coalesce(F.unix_micros("received_at") - F.col("hi") <= span, F.lit(False))
-    return rows.join(near, ["fingerprint", "slot"], "left").withColumn("is_duplicate", dup).drop("slot", "lo", "hi", "fingerprint")
+    dup = F.coalesce(F.col("_lo") < me, F.lit(False)) | F.coalesce(F.unix_micros("received_at") - F.col("_hi") <= span, F.lit(False))
+    return rows.join(near, ["_print", "_slot"], "left").withColumn("is_duplicate", dup).drop("_print", "_slot", "_lo", "_hi")
 
 
 def to_positions(messages: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def port_calls(positions: DataFrame, ports: DataFrame, open_calls: DataFrame | N
     it is open (no departure) while the vessel has no later fix. With a ``lookback`` the
     vessels seen since then are scanned from then, or from the arrival of an open call.
     Null speeds are left out of the minimum; fixes without coordinates are in no port."""
-    rows = positions.where(F.col("reported_at") <= F.lit(as_of).cast("timestamp"))
+    rows = positions.select("position_id", "mmsi", "reported_at", "lon", "lat", "sog").where(F.col("reported_at") <= F.lit(as_of).cast("timestamp"))
     if lookback is not None:
         start = since(rows, "reported_at", as_of, lookback).select("mmsi").distinct().withColumn("start_at", F.lit(as_of).cast("timestamp") - interval(lookback))
         if open_calls is not None:
