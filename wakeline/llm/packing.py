@@ -168,7 +168,8 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
     caps_by = dict(kinds)
     # stable ranks within (kind, size, salt); at most 1/SALTS of a size in one window
     w = Window.partitionBy("container_kind", "rest", "salt").orderBy("doc_id", "tokens")
-    ranked = spread.join(tally, ["container_kind", "rest", "salt"]).select(
+    # a merge join: the window below wants the same order, and the tally need not be broadcast
+    ranked = spread.join(tally.hint("merge"), ["container_kind", "rest", "salt"]).select(
         "container_kind", "doc_id", "tokens", "rest", "whole",
         (F.col("rank0") + F.row_number().over(w) - 1).alias("rank"),
         (F.col("whole_in_rest") + F.sum("whole").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")).alias("before"),

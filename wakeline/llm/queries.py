@@ -44,4 +44,10 @@ QUERIES = {
     f.__name__: f
     for f in (p3_found, p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p9_found": """WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
+i AS (SELECT item_id, list_transform(regexp_extract_all(passage, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS s FROM d WHERE len(w) >= 12),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS s FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
+}
