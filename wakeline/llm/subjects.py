@@ -191,43 +191,43 @@ def score(ids: np.ndarray, doc: np.ndarray, n_docs: int, m: Model, background: n
     v, s = len(m.words), len(m.subjects)
     prev = np.r_[-1, ids[:-1]]
     prev[np.r_[True, doc[1:] != doc[:-1]]] = -1
-    keep = ids >= 0
+    # words that no subject tells by are background in any mixture and weigh for no side
+    keep = np.flatnonzero((ids >= 0) & np.r_[m.telling.any(1), False][ids])
     ids, doc, prev = ids[keep], doc[keep], prev[keep]
-    telling = m.telling.any(1)  # the rest is background in any mixture
-    keep = telling[ids]
-    ids, doc, prev = ids[keep], doc[keep], prev[keep]
-    length = np.bincount(doc, minlength=n_docs)  # words that tell nothing weigh for no side
-    p = l1 * m.unigram[ids] + l0 * background[ids][:, None]
+    got, saved, words = np.zeros((n_docs, s)), np.zeros((n_docs, s)), np.zeros((n_docs, s), int)
+    if not len(ids):
+        return got, words, saved
+    bg = background[ids][:, None]
+    own = m.unigram[ids]
+    p = l1 * own + l0 * bg
     weight = np.full(len(ids), l1 + l0)
     if len(m.pairs):
         key = prev.astype(np.int64) * v + ids
         at = np.minimum(np.searchsorted(m.pairs, key), len(m.pairs) - 1)
-        hit = (prev >= 0) & (m.pairs[at] == key)
+        hit = np.flatnonzero((prev >= 0) & (m.pairs[at] == key))
         known = m.bigram[at[hit]]
         # a pair the subject never wrote falls back on its words
-        p[hit] += l2 * np.where(known > 0, np.minimum(known, 20 * m.unigram[ids[hit]]), m.unigram[ids[hit]])
+        p[hit] += l2 * np.where(known > 0, np.minimum(known, 20 * own[hit]), own[hit])
         weight[hit] = 1.0
-    p /= weight[:, None]
-    ratio = np.clip(p / background[ids][:, None], 1e-3, 500.0)
-    ratio = np.where(m.telling[ids], ratio, np.minimum(ratio, 1.0))
-    theta = np.full((n_docs, s), 0.5 / s)
-    rest = np.full(n_docs, 0.5)
-    share = np.zeros((len(ids), s))
+    ratio = np.clip(p / (weight[:, None] * bg), 1e-3, 500.0)
+    ratio = np.where(m.telling[ids], ratio, np.minimum(ratio, 1.0)).astype(np.float32)
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # documents come in order
+    here, length = doc[start], np.diff(np.r_[start, len(doc)])
+    theta = np.full((len(here), s), 0.5 / s, np.float32)
+    rest = np.full(len(here), 0.5, np.float32)
+    share = sums = None
     for _ in range(rounds):
-        joint = theta[doc] * ratio
-        share = joint / (joint.sum(1) + rest[doc])[:, None]
-        got = np.zeros((n_docs, s))
-        for j in range(s):
-            got[:, j] = np.bincount(doc, share[:, j], minlength=n_docs)
-        theta = (got + 0.02) / (length[:, None] + 1.0)
-        rest = np.maximum(1 - theta.sum(1), 0.05)
-    saved = np.zeros((n_docs, s))
-    words = np.zeros((n_docs, s), int)
-    for j in range(s):
-        saved[:, j] = np.bincount(doc, share[:, j] * np.log(ratio[:, j]), minlength=n_docs)
-        mine = share[:, j] > 0.5
-        d = np.unique(doc[mine].astype(np.int64) * v + ids[mine]) // v
-        words[:, j] = np.bincount(d, minlength=n_docs)
+        share = np.repeat(theta, length, axis=0)
+        share *= ratio
+        share /= (share.sum(1) + np.repeat(rest, length))[:, None]
+        sums = np.add.reduceat(share, start, axis=0)
+        theta = (sums + np.float32(0.02)) / (length[:, None] + np.float32(1.0))
+        rest = np.maximum(1 - theta.sum(1), np.float32(0.05))
+    got[here] = sums
+    saved[here] = np.add.reduceat(share * np.log(ratio), start, axis=0)
+    token, j = np.nonzero(share > 0.5)  # at most one subject has more than half of a token
+    once = np.unique((doc[token].astype(np.int64) * s + j) * v + ids[token]) // v
+    words += np.bincount(once, minlength=n_docs * s).reshape(n_docs, s)
     return got, words, saved
 
 
