@@ -92,10 +92,11 @@ def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0,
     for low, high in zip(first, last):
         mmsi, block = int(c["mmsi"][low]), int(c["block"][low])
         mine = np.flatnonzero(core[low : high + 1]) + low
-        zero = way[mine[0]] - leg[mine[0]] if len(mine) else way[low]
-        if len(mine):
-            i, j = mine[0], mine[-1]
-            rows.append(("block", mmsi, block, c["us"][i], c["us"][j], len(mine), lon[i], lat[i], lon[j], lat[j], 0.0, way[j] - zero, i > low, False))
+        if not len(mine):
+            continue  # all of it belongs to the neighbouring blocks, which see more
+        i, j = mine[0], mine[-1]
+        zero = way[i] - leg[i]
+        rows.append(("block", mmsi, block, c["us"][i], c["us"][j], len(mine), lon[i], lat[i], lon[j], lat[j], 0.0, way[j] - zero, i > low, False))
         seeds = np.flatnonzero(held[low : high + 1]) + low
         ranges = [(low, low), (high, high)]
         if len(seeds):

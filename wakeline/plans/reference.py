@@ -254,10 +254,10 @@ def jaccard(a: str, b: str) -> str:
 
 @query(f"""WITH a AS (SELECT mmsi, name, call_sign, {grams('name')} AS g FROM vessels), b AS (SELECT id, name, un_locode, {grams('name')} AS h FROM ports),
 s AS (SELECT mmsi, id, CASE WHEN call_sign <> '' AND call_sign = un_locode THEN 1.0 WHEN len(g) > 0 AND len(h) > 0 THEN {jaccard('g', 'h')} ELSE 0 END AS s FROM a JOIN b ON true)
-SELECT mmsi, CAST(id AS VARCHAR) AS reference, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 5) AS match_score FROM s WHERE s > 0.3""")
+SELECT mmsi, CAST(id AS VARCHAR) AS reference, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 5) AS match_score FROM s WHERE s > 0.15""")
 def n10_sanctions_matches(t):
     listed = t("ports").select(F.col("id").alias("ent_num"), F.col("name").alias("sdn_name"), F.col("un_locode").alias("call_sign"))
-    out = similar_text.watch_list_matches(t("vessels"), listed, as_of=AS_OF, threshold=0.3)
+    out = similar_text.watch_list_matches(t("vessels"), listed, as_of=AS_OF, threshold=0.15)
     return out.select("mmsi", "reference", F.round(F.col("match_score").cast("double"), 5).alias("match_score"))
 
 
