@@ -38,6 +38,22 @@ def test_spikes_are_named_with_their_field(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_impossible_positions_leave_their_readings_to_be_judged(spark):
+    rows = voyage()
+    lost = {50: (181.0, 91.0), 105: (181.0, 91.0), 106: (None, None), 200: (0.0, 91.0), 201: (181.0, 0.0), 300: (float("nan"), 0.0), len(rows) - 1: (181.0, 91.0)}
+    for k in range(100, 110):  # a run of exactly ten
+        rows[k] = (*rows[k][:6], 97)
+    rows[50] = (*rows[50][:4], 35.0, *rows[50][5:])
+    rows[200] = (*rows[200][:5], 250.0, rows[200][6])
+    rows[len(rows) - 1] = (*rows[-1][:6], 270)
+    for k, (lon, lat) in lost.items():
+        rows[k] = (*rows[k][:2], lon, lat, *rows[k][4:])
+    want = {(51, "sog"), (201, "cog"), (len(rows), "heading")} | {(k + 1, "heading") for k in range(100, 110)}
+    assert set(got(spikes.bad_readings(frame(spark, rows)))) == want
+    nowhere = [(*r[:2], None, None, *r[4:]) for r in voyage()]
+    assert got(spikes.bad_readings(frame(spark, nowhere))) == []
+
+
 def test_still_vessels_may_turn(spark):
     rng = random.Random(1)
     rows = [(1, k * 180, rng.gauss(0, 5e-5), rng.gauss(0, 5e-5), abs(rng.gauss(0, 0.1)), rng.uniform(0, 359), 40) for k in range(300)]

@@ -14,7 +14,8 @@ The work is done per block of a track with a halo (``track_blocks``), in numpy.
 reach the fit as counts per bin, so nothing grows with the rows of a mover.
 
 Defined results: copies of a delivery share their verdict; fixes with a null mover or
-time are judged by plausibility alone; null readings and codes are never reported and do
+time are judged by plausibility alone; an impossible position leaves its readings to be
+judged like all others; null readings and codes are never reported and do
 not end a run; a silence longer than the halo separates neighbours; empty in, empty out.
 """
 
@@ -72,31 +73,44 @@ def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray, circular: bool) -> np.n
 
 
 def _at(x: np.ndarray, y: np.ndarray, group: np.ndarray, t: np.ndarray, gap: float) -> tuple[np.ndarray, ...]:
-    """Index of the nearest fix at least ``gap`` seconds earlier and later, -1 where none."""
+    """Index of the nearest fix with a position at least ``gap`` seconds earlier and later, -1 where none."""
     order = group * 1e9 + (t - t.min())
-    early = np.searchsorted(order, order - gap, side="right") - 1
-    late = np.searchsorted(order, order + gap, side="left")
-    n = len(t)
-    early = np.where((early >= 0) & (group[np.maximum(early, 0)] == group), early, -1)
-    late = np.where((late < n) & (group[np.minimum(late, n - 1)] == group), late, -1)
-    return early, late
+    held = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+    n = len(held)
+    if not n:
+        return np.full(len(t), -1), np.full(len(t), -1)
+    early = np.searchsorted(order[held], order - gap, side="right") - 1
+    late = np.searchsorted(order[held], order + gap, side="left")
+    i, j = held[np.maximum(early, 0)], held[np.minimum(late, n - 1)]
+    return np.where((early >= 0) & (group[i] == group), i, -1), np.where((late < n) & (group[j] == group), j, -1)
 
 
 def movement(c: dict[str, np.ndarray], group: np.ndarray, gap: float = 75.0) -> tuple[np.ndarray, np.ndarray]:
     """Speed in knots and bearing over the ground around each fix, from fixes alone.
 
     Positions pass a median of three first, which removes single stray fixes; a base of
-    ``gap`` seconds on either side keeps receiver noise small against the way made."""
+    ``gap`` seconds on either side keeps receiver noise small against the way made. Fixes
+    without a position (NaN) are no base of others; they lie on the line between the fixes
+    around them, or move as the last fix beside them does."""
     t = c["us"] / 1e6
     lon, lat = c["lon"], c["lat"]
-    smooth = []
-    for v in (lon, lat):
-        before, after = _shift(v, -1, group, t), _shift(v, 1, group, t)
+    held = ~(np.isnan(lon) | np.isnan(lat))
+    x, y = np.full(len(t), np.nan), np.full(len(t), np.nan)
+    for v, smooth in ((lon[held], x), (lat[held], y)):
+        before, after = _shift(v, -1, group[held], t[held]), _shift(v, 1, group[held], t[held])
         m = np.maximum(np.minimum(before, after), np.minimum(np.maximum(before, after), v))
-        smooth.append(np.where(np.isnan(m), v, m))
-    x, y = smooth
+        smooth[held] = np.where(np.isnan(m), v, m)
     early, late = _at(x, y, group, t, gap)
-    here = np.arange(len(t))
+    here, lost = np.arange(len(t)), np.flatnonzero(~held)
+    beside = np.full(len(lost), -1)
+    if len(lost):
+        p, q = (a[lost] for a in _at(x, y, group, t, 0.0))
+        p, q = (np.where((k >= 0) & (np.abs(t[k] - t[lost]) <= HALO_S), k, -1) for k in (p, q))
+        part = (t[lost] - t[p]) / np.maximum(t[q] - t[p], 1e-6)
+        both = (p >= 0) & (q >= 0)
+        for v in (x, y):
+            v[lost] = np.where(both, v[p] + part * (v[q] - v[p]), np.nan)
+        beside = np.where(both, -1, np.maximum(p, q))
     speeds, ways = [], []
     for i, j in ((early, late), (early, here), (here, late)):
         ok = (i >= 0) & (j >= 0)
@@ -113,6 +127,9 @@ def movement(c: dict[str, np.ndarray], group: np.ndarray, gap: float = 75.0) ->
     speed = np.where(np.isnan(speed), whole, speed)
     way = np.where(np.isnan(ways[0]), np.where(np.isnan(ways[1]), ways[2], ways[1]), ways[0])
     slow = np.fmin(np.fmin(before, after), whole)
+    alone = beside >= 0
+    for v in (speed, way, slow):
+        v[lost[alone]] = v[beside[alone]]
     return speed, way, np.where(np.isnan(slow), 0, slow)
 
 
@@ -249,9 +266,9 @@ def out_of_range(positions: DataFrame) -> DataFrame:
 def bad_readings(positions: DataFrame) -> DataFrame:
     """(position_id, field) of every bad reading, all delivered copies included."""
     us = F.unix_micros("reported_at").alias("us")
-    fixes = positions.select("mmsi", us, "lon", "lat", *[F.col(f).cast("double").alias(f) for f in FIELDS]).where(
-        "mmsi is not null and us is not null and abs(lat) <= 90 and abs(lon) <= 180"
-    )
+    possible = F.expr("abs(lat) <= 90 and abs(lon) <= 180")
+    place = [F.when(possible, F.col(c)).cast("double").alias(c) for c in ("lon", "lat")]
+    fixes = positions.select("mmsi", us, *place, *[F.col(f).cast("double").alias(f) for f in FIELDS]).where("mmsi is not null and us is not null")
     found = cut(map_blocks(in_blocks(fixes, block_s=BLOCK_S, halo_s=HALO_S), assess, OUT))
     far = found.where("kind = 'far'").join(cutoffs(found.where("kind = 'bin'")), ["mmsi", "field", "season"]).where("amount > cutoff")
     name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1)
