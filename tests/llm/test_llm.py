@@ -81,6 +81,22 @@ def test_same_operator(spark, monkeypatch, hot):
     assert got(names.same_operator(operators(spark, NAMES).limit(0))) == []
 
 
+def linked(spark, rows):
+    reps = names.cut(names.readings(operators(spark, rows)))
+    return {(r.x, r.y) for r in names._judged(reps, names._candidates(reps)).collect()}
+
+
+def test_splitting_hot_names_loses_no_pair(spark, monkeypatch):
+    partners = "HORIZON HORYZEN HORIZN HOR. HO. RUSZOLNEL RUSZ. RUZSOLMEL TIPEMHAL TIPEMAHL TIBEMHOL".split()
+    given = "Theodore Theo Ted T. Edward Ed E. Margaret Peggy M. Anna".split()
+    rows = [(k + 1, f"Kanbexnem {p} Towage", None) for k, p in enumerate(partners)] + [(50 + k, f"{g} Daxgaxsekbom", None) for k, g in enumerate(given)]
+    rows += [(80, "Kanbexnemhorizon Towage", None), (81, "Tipemhalkanbexnem Towage", None), (90, "Daxgaxsekbom", None)]
+    whole = linked(spark, rows)
+    assert {(1, 2), (1, 4), (1, 5), (6, 7), (6, 8), (9, 11), (1, 80), (9, 81), (50, 53), (51, 53)} <= whole
+    monkeypatch.setattr(names, "HOT", 2)
+    assert linked(spark, rows) == whole
+
+
 def test_readings():
     assert names.read("Salmelnes Tipemhal, Bulk Carriers Co. of")["line"] == "BULK CARRIERS"
     assert names.read("Maritime Dantardar Saxmokbur")["line"] == "MARITIME"

@@ -11,7 +11,8 @@ business must agree, and known countries must not differ.
    one row from here on.
 2. Candidates meet by an equi-join on token keys: the token and all it leaves after one
    letter is left out (a symmetric-delete index). Keys with more than ``HOT`` rows are
-   split by the keys of the partner token, so no group of candidates is a hot key.
+   split by all keys under which the partner token, or the given name, can be accepted, so
+   no group of candidates is a hot key and the split loses no pair.
 3. Candidate pairs are judged on the executors. Full readings link directly; a reading
    with an initial, abbreviation or nickname joins a group only if a single group fits
    it best.
@@ -39,6 +40,8 @@ from wakeline.workspace import cut
 MOST_EDITS = 2
 #: Keys with more representatives than this are split by the partner token.
 HOT = 200
+#: Rows whose keys are made at once.
+UNIT = 1_000
 
 #: Legal forms and joining words, titles, lines of business and how they are
 #: shortened, and nicknames with the given names that they stand for.
@@ -129,19 +132,37 @@ def read(name: str | None) -> dict | None:
     return {"kind": "person", "line": "", "a": surname, "b": first if not means or not full else means[0], "short": not full, "given": means}
 
 
+def _token_keys(token: str) -> list[tuple[str, str]]:
+    """(key, side): two tokens that ``_fits`` accepts share a key, either both on side '=',
+    by what is left after deletes, or a cut token (S) with a long one that begins so (L)."""
+    out = [("d" + d, "=") for d in sorted(deletes(token, MOST_EDITS))]
+    if len(token) <= 5:
+        out.append(("p" + token, "S"))
+    return out + [("p" + token[:i], "L") for i in range(min(1, len(token)), min(5, len(token) - 3) + 1)]
+
+
+def _given_keys(given: str) -> list[tuple[str, str]]:
+    """(key, side) of a person's given names, or of '=' and the initial, as ``same`` compares them."""
+    if given[:1] == "=":
+        return [("i" + given[1:], "S"), ("?", "=")]
+    means = given.split(",")
+    return [("g" + g, "=") for g in means] + [("i" + i, "L") for i in sorted({g[:1] for g in means})]
+
+
 def keys_of(r) -> list[tuple[str, str, str]]:
-    """(side, key, partner): where the reading can be met, and the token left for judging."""
+    """(key, side, partner): where the reading can be met, and what is left to split hot keys by."""
     head = f"{r.kind}|{r.line}|"
     if r.kind == "person":
-        return [("one", head + d, (r.b or "?")[:1]) for d in deletes(r.a, 1)]
+        given = ",".join(r.given) if r.given is not None and len(r.given) else "=" + (r.b or "")
+        return [(f"{head}d{d}", "=", given) for d in deletes(r.a, 1)]
     out = []
     if r.b:
         for own, other in ((r.a, r.b), (r.b, r.a)):
             if len(own) > 4:
-                out += [("one", head + d, other) for d in deletes(own, 1)]
+                out += [(f"{head}d{d}", "=", other) for d in deletes(own, 1)]
     else:
-        out += [("one", head + part, rest) for i in range(3, len(r.a) - 2) for part, rest in ((r.a[:i], r.a[i:]), (r.a[i:], r.a[:i]))]
-        out += [("one", head + d, "") for d in deletes(r.a, 1)]
+        out += [(f"{head}d{part}", "=", rest) for i in range(3, len(r.a) - 2) for part, rest in ((r.a[:i], r.a[i:]), (r.a[i:], r.a[:i]))]
+        out += [(f"{head}d{d}", "=", "") for d in deletes(r.a, 1)]
     return out
 
 
@@ -199,25 +220,35 @@ def readings(operators: DataFrame, *, key: str = "id", name: str = "canonical",
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (x, y) of representatives that share a key."""
+    """Distinct pairs (x, y) of representatives that share a key on matching sides."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r.id, k, p) for r in pdf.itertuples(index=False) for _, k, p in keys_of(r)]
-            yield pd.DataFrame(rows, columns=["id", "key", "partner"])
+            for at in range(0, len(pdf), UNIT):
+                rows = [(r.id, *k) for r in pdf[at : at + UNIT].itertuples(index=False) for k in keys_of(r)]
+                yield pd.DataFrame(rows, columns=["id", "key", "side", "partner"])
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(i, f"{k}|{d}") for i, k, p in zip(pdf["id"], pdf["key"], pdf["partner"]) for d in (deletes(p, 1) | {p[:4]})}
-            yield pd.DataFrame(sorted(rows), columns=["id", "key"])
-
-    keyed = cut(reps.mapInPandas(run, "id int, key string, partner string"))
-    crowd = keyed.groupBy("key").agg(F.count_distinct("id").alias("n"))
-    sized = keyed.join(crowd.where("n > 1"), "key")
-    plainly = sized.where(f"n <= {HOT}").select("id", "key").distinct()
-    split = sized.where(f"n > {HOT}").select("id", "key", "partner").mapInPandas(refine, "id int, key string")
+            for at in range(0, len(pdf), UNIT):
+                some = pdf[at : at + UNIT]
+                rows = {
+                    (i, f"{k}|{d}", own + side)
+                    for i, k, own, p in zip(some["id"], some["key"], some["side"], some["partner"])
+                    for d, side in (_given_keys if k.startswith("person|") else _token_keys)(p)
+                }
+                yield pd.DataFrame(sorted(rows), columns=["id", "key", "side"])
+
+    keyed = cut(reps.mapInPandas(run, "id int, key string, side string, partner string"))
+    on = lambda side: F.count_distinct(F.when(F.col("side") == side, F.col("id")))
+    crowd = keyed.groupBy("key").agg(on("=").alias("n"), on("S").alias("s"), on("L").alias("l"))
+    sized = keyed.join(crowd.where("n > 1 or s > 0 and l > 0").withColumn("pairs", F.col("n") * F.col("n") + F.col("s") * F.col("l")), "key")
+    plainly = sized.where(f"pairs <= {HOT * HOT}").select("id", "key", "side").distinct()
+    split = sized.where(f"pairs > {HOT * HOT}").select("id", "key", "side", "partner").mapInPandas(refine, "id int, key string, side string")
+    place = F.xxhash64("key")  # keys that clash only bring candidates more
     met = plainly.unionByName(split)
-    return met.select(F.col("id").alias("x"), "key").join(met.select(F.col("id").alias("y"), "key"), "key").where("x < y").select("x", "y").distinct()
+    other = met.select(F.col("id").alias("y"), place.alias("place"), F.translate("side", "SL", "LS").alias("side"))
+    return met.select(F.col("id").alias("x"), place.alias("place"), "side").join(other, ["place", "side"]).where("x < y").select("x", "y").distinct()
 
 
 def _judged(reps: DataFrame, pairs: DataFrame) -> DataFrame:
