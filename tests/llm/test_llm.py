@@ -97,6 +97,31 @@ def test_splitting_hot_names_loses_no_pair(spark, monkeypatch):
     assert linked(spark, rows) == whole
 
 
+@pytest.mark.parametrize("hot", [200, 3])
+def test_all_pairs_meet_that_mean_the_same(spark, monkeypatch, hot):
+    monkeypatch.setattr(names, "HOT", hot)
+    rng = random.Random(11)
+
+    def typed(word):
+        for _ in range(rng.choice([0, 1, 2, 2])):
+            i = rng.randrange(len(word))
+            word = rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice("AEKN") + word[i:], word[:i] + rng.choice("AEKN") + word[i + 1 :], word[:i] + word[i : i + 2][::-1] + word[i + 2 :]]) or word
+        return word
+
+    words = [("NORD", "STAR"), ("KANBEXNEM", "PIXFEKBUR"), ("SOL", "RUSZOLNEL"), ("OX", "TIPEMHAL")]
+    rows = [(1, "Nord Star Lines", '{"country":"XA"}'), (2, "Nord Star Lines", None)]
+    for k in range(60):
+        a, b = (typed(w) for w in words[k % 4])
+        a = rng.choice([a, a, a[:4] + "."]) if len(a) > 7 else a
+        rows.append((10 + k, rng.choice([f"{a} {b} Lines", f"{b} {a} Lines", f"{a}{b} Lines", typed(a + b) + " Lines"]), None))
+    rows += [(100 + k, f"{rng.choice(['Theodore', 'Ted', 'T.', 'E.', 'Edward', 'Peggy'])} {typed('DAXGAXSEK')}", None) for k in range(30)]
+    reps = names.readings(operators(spark, rows)).toPandas().sort_values("id")
+    reps = list(reps.itertuples(index=False))
+    want = {(x.id, y.id) for x in reps for y in reps if x.id < y.id and names.same(x, y)}
+    assert (1, 2) in want and len(want) > 200
+    assert linked(spark, rows) == want
+
+
 def test_readings():
     assert names.read("Salmelnes Tipemhal, Bulk Carriers Co. of")["line"] == "BULK CARRIERS"
     assert names.read("Maritime Dantardar Saxmokbur")["line"] == "MARITIME"

@@ -9,8 +9,9 @@ business must agree, and known countries must not differ.
 
 1. Equal readings collapse to one representative, so a name with a third of all rows is
    one row from here on.
-2. Candidates meet by an equi-join on token keys: the token and all it leaves after one
-   letter is left out (a symmetric-delete index). Keys with more than ``HOT`` rows are
+2. Candidates meet by an equi-join on token keys: the token and all it leaves after up to
+   ``MOST_EDITS`` letters are left out (a symmetric-delete index), and for abbreviations
+   its first one to five letters. So all pairs meet that the rule accepts. Keys with more than ``HOT`` rows are
    split by all keys under which the partner token, or the given name, can be accepted, so
    no group of candidates is a hot key and the split loses no pair.
 3. Candidate pairs are judged on the executors. Full readings link directly; a reading
@@ -154,16 +155,13 @@ def keys_of(r) -> list[tuple[str, str, str]]:
     head = f"{r.kind}|{r.line}|"
     if r.kind == "person":
         given = ",".join(r.given) if r.given is not None and len(r.given) else "=" + (r.b or "")
-        return [(f"{head}d{d}", "=", given) for d in deletes(r.a, 1)]
-    out = []
+        return [(f"{head}d{d}", "=", given) for d in deletes(r.a, MOST_EDITS)]
     if r.b:
-        for own, other in ((r.a, r.b), (r.b, r.a)):
-            if len(own) > 4:
-                out += [(f"{head}d{d}", "=", other) for d in deletes(own, 1)]
-    else:
-        out += [(f"{head}d{part}", "=", rest) for i in range(3, len(r.a) - 2) for part, rest in ((r.a[:i], r.a[i:]), (r.a[i:], r.a[:i]))]
-        out += [(f"{head}d{d}", "=", "") for d in deletes(r.a, 1)]
-    return out
+        return [(head + k, side, other) for own, other in ((r.a, r.b), (r.b, r.a)) for k, side in _token_keys(own)]
+    # run together: of its two parts one has at most half of the edits
+    parts = {p for i in range(len(r.a) + 1) for p in ((r.a[:i], r.a[i:]), (r.a[i:], r.a[:i]))}
+    out = {(f"{head}d{d}", "=", rest) for part, rest in parts for d in deletes(part, MOST_EDITS // 2)}
+    return sorted(out | {(f"{head}d{d}", "=", "") for d in deletes(r.a, MOST_EDITS)})
 
 
 def _fits(a: str, b: str) -> int:
