@@ -140,6 +140,22 @@ def test_continuous_ingest(spark, tmp_path):
     assert got(spark.read.parquet(str(out / "positions"))) == before
 
 
+def test_duplicates_of_earlier_batches(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    same = lambda i, minute: _row(i, 1, 10.0) | {"received_at": f"2024-06-01T10:{minute:02d}:30Z"}
+    batches = [[same(1, 1)], [_row(2, 30, 12.0)], [same(3, 5)], [same(4, 9), same(5, 20)]]
+    for k, rows in enumerate(batches):
+        _lines(src, f"{k}.json", rows)
+        stream.start_ingest(stream.read_messages(spark, str(src)), str(out), str(tmp_path / "cp")).awaitTermination()
+    want = [(1, False), (2, False), (3, True), (4, True), (5, False)]
+    flags = lambda: got(spark.read.parquet(str(out / "raw")).select("id", "is_duplicate"))
+    assert flags() == want and spark.read.parquet(str(out / "positions")).count() == 3
+    for k in (0, 2):  # an epoch again doesn't see its own receipts or later ones
+        stream.write_epoch(str(out), str(out / "last"))(stream.decoded(spark.read.schema(stream.RAW).json(str(src / f"{k}.json"))), k)
+    assert flags() == want
+
+
 def test_streaming_rollup_and_dedup(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -2,7 +2,8 @@
 
 Every step of a micro-batch is idempotent by key or by epoch, because an epoch may be
 run again: raw rows, positions and counters are written under their epoch's partition,
-which a retry replaces; last positions are a maximum.
+which a retry replaces; last positions are a maximum. A receipt is compared with all
+within the window before it, of its own epoch and of earlier ones.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wakeline.operators import feeds, ingest
 
+#: How long after an earlier receipt another is a duplicate.
+WINDOW = "5m"
 RAW = "id long, source string, message_type short, mmsi long, received_at timestamp, reported_at timestamp, payload string, is_duplicate boolean"
 
 
@@ -43,22 +46,40 @@ def write_epoch(folder: str, last_cache: str) -> Callable[[DataFrame, int], None
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        flagged = ingest.dedup_messages(batch).persist()
+        batch = batch.persist()
+        flagged = ingest.dedup_messages(batch, _earlier(batch, f"{folder}/receipts", epoch), window=WINDOW).persist()
         try:
-            save = lambda df, name: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{folder}/{name}")
+            save = lambda df, name, *by: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "epoch").parquet(f"{folder}/{name}")
             save(flagged.select("id", "source", "message_type", "mmsi", "received_at", "reported_at", "payload", "is_duplicate"), "raw")
             positions = ingest.to_positions(flagged).withColumn("position_id", F.xxhash64("mmsi", "reported_at"))
             save(positions, "positions")
             save(ingest.rate_counters(flagged), "counters")
+            receipts = batch.where("received_at is not null").select(ingest.fingerprint(batch).alias("fingerprint"), F.col("received_at").alias("first_seen")).distinct()
+            save(receipts.withColumn("date", F.date_format("first_seen", "yyyy-MM-dd")), "receipts", "date")  # days that have passed go by ``expire``
             # the cache is versioned by epoch: a retry starts from the version before it
             before = spark.read.parquet(f"{last_cache}/v={epoch - 1}") if epoch and _exists(spark, f"{last_cache}/v={epoch - 1}") else None
             ingest.last_positions(positions, before).write.mode("overwrite").parquet(f"{last_cache}/v={epoch}")
         finally:
             flagged.unpersist()
+            batch.unpersist()
 
     return run
 
 
+def _earlier(batch: DataFrame, path: str, epoch: int) -> DataFrame | None:
+    """(fingerprint, first_seen) of the receipts of earlier epochs that can be within the window of the batch's."""
+    spark = batch.sparkSession
+    at = F.unix_micros("received_at")
+    low, high = batch.agg(F.min(at), F.max(at)).first()
+    if low is None or not _exists(spark, path):
+        return None
+    low -= int(WINDOW[:-1]) * 60_000_000
+    day = lambda us: F.date_format(F.timestamp_micros(F.lit(us)), "yyyy-MM-dd")
+    kept = spark.read.schema("fingerprint string, first_seen timestamp, date string, epoch long").parquet(path)
+    kept = kept.where((F.col("epoch") < epoch) & F.col("date").between(day(low), day(high)))
+    return kept.where(F.unix_micros("first_seen").between(low, high)).select("fingerprint", "first_seen")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
