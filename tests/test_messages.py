@@ -70,6 +70,19 @@ def test_late_rows_amend_until_the_cutoff(spark, at):
     assert got(late_counts.counts(again)) == got(late_counts.counts(state))
 
 
+def test_batches_of_neighbouring_ids_add_up(spark):
+    rows = [(i, "a", 7, "2024-06-01 10:10:00", f"2024-06-01 {'11:30' if i <= 5 else '10:20'}:00") for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "id long, source string, mmsi long, reported_at string, received_at string").selectExpr(
+        "id", "source", "mmsi", "cast(reported_at as timestamp) reported_at", "cast(received_at as timestamp) received_at"
+    )
+    a, b, c = (late_counts.cells(df.where(w), batch=k) for k, w in enumerate(("id <= 3", "id in (4, 5, 6)", "id > 6")))
+    want = [(7, 1717236000, 3, 8)]
+    assert got(late_counts.counts(late_counts.cells(df))) == want
+    for states in ((a, b, c), (c, a, b), (a, b, a, c, b)):  # replays too
+        assert got(late_counts.counts(late_counts.merge(*states))) == want
+    assert got(late_counts.counts(late_counts.merge(late_counts.merge(a, b), late_counts.merge(b, c)))) == want
+
+
 def test_decoding(spark, at):
     rows = [
         (1, "s", 0, 0, payload({"MessageID": 1, "UserID": 222, "Latitude": 1.29, "Longitude": 103.85, "TrueHeading": 511}, MMSI=636, ShipName=" TEST ")),

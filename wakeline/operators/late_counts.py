@@ -1,9 +1,10 @@
 """Late and out-of-order events: hourly counts by event time that are amended, not recounted.
 
-A count is the sum of cells keyed by (vessel, hour, source, version). The version is
-the arrival sequence block that the rows belong to, and a cell only ever grows, so
-states merge by the maximum of each cell and a count is the sum over its cells.
-Replaying a batch, splitting it or merging states in another order gives the same count.
+A count is the sum of cells keyed by (vessel, hour, source, version). The version is the
+sequence of the batch that brought the rows: no two batches share a cell, and a cell only
+ever grows, so states merge by the maximum of each cell and a count is the sum over its
+cells. Replaying a batch under its sequence, splitting it into batches with sequences of
+their own or merging states in another order gives the same count.
 
 An hour is published ``grace`` after its end; rows received from then until ``cutoff``
 after its end amend it, later ones are dropped. Defined results: rows without both
@@ -20,11 +21,13 @@ HOUR = 3_600_000_000
 CELL = ["mmsi", "hour_start", "source", "version"]
 
 
-def cells(deliveries: DataFrame, *, grace_s: int = 300, cutoff_s: int = 21_600, block: int = 1_000_000) -> DataFrame:
-    """State of a batch of first deliveries: on-time and amending counts per cell."""
+def cells(deliveries: DataFrame, *, batch: int = 0, grace_s: int = 300, cutoff_s: int = 21_600) -> DataFrame:
+    """State of a batch of first deliveries: on-time and amending counts per cell.
+
+    ``batch`` is its sequence, which must be its own wherever states are merged."""
     event, received = F.unix_micros(F.coalesce("reported_at", "received_at")), F.unix_micros("received_at")
     rows = deliveries.where(F.col("mmsi").isNotNull() & F.col("received_at").isNotNull()).select(
-        "mmsi", F.coalesce("source", F.lit("")).alias("source"), F.expr(f"id div {block}").alias("version"),
+        "mmsi", F.coalesce("source", F.lit("")).alias("source"), F.lit(batch).cast("long").alias("version"),
         received.alias("received"), (event - F.pmod(event, F.lit(HOUR))).alias("hour"),
     )
     late_by = F.col("received") - F.col("hour") - F.lit(HOUR)

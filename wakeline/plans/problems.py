@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wakeline.io import table
 from wakeline.operators import containment, late_counts, message_store, proximity, spikes, stops
 from wakeline.plans.reference import BODY, MOMENT, inside_sql, micros
+from wakeline.workspace import cut
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,8 +32,16 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return late_counts.counts(_late_state(spark, folder))
 
 
+#: Batches, in order of arrival, whose states make up the late counts.
+BATCHES = 4
+
+
 def _late_state(spark: SparkSession, folder: str) -> DataFrame:
-    return late_counts.cells(message_store.deduplicated(table(spark, folder, "raw_messages")))
+    first = message_store.deduplicated(table(spark, folder, "raw_messages"))
+    first = cut(first.select("id", "mmsi", "source", "reported_at", "received_at"))
+    low, high = first.agg(F.coalesce(F.min("id"), F.lit(0)), F.coalesce(F.max("id"), F.lit(0))).first()
+    batch = F.expr(f"(id - {low}) div {(high - low) // BATCHES + 1}")
+    return late_counts.merge(*[late_counts.cells(first.where(batch == k), batch=k) for k in range(BATCHES)])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
