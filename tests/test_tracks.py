@@ -109,6 +109,23 @@ def test_stops_do_not_depend_on_blocks(spark, monkeypatch):
     assert len(whole) > 15
 
 
+def test_strays_at_borders_of_blocks_do_not_end_a_stop(spark):
+    start = int(START.timestamp())
+    for silence in (False, True):  # without and with a silence over a border
+        rows = track(1, [("stay", 10 * 86_400, 0, 0)])
+        border = next(k for k in range(len(rows)) if (start + k * 180) % stops.BLOCK_S == 0) + 960
+        halo = stops.HALO_S // 180
+        far = [border - halo, border + halo - 1, border + 960 - halo, border + 1920 + halo - 1]
+        gone = (border - 200, border + 60) if silence else (0, 0)
+        far = [gone[1]] if silence else far
+        for k in far:
+            rows[k] = (*rows[k][:2], 3.0, 3.0, *rows[k][4:])
+        kept = [r for k, r in enumerate(rows) if not gone[0] < k < gone[1]]
+        found, trips = stops.stops_and_trips(frame(spark, kept))
+        (stop,) = found.collect()
+        assert stop.duration_s == rows[-1][1] and trips.count() == 0
+
+
 def test_no_stops(spark):
     found, trips = stops.stops_and_trips(frame(spark, []))
     assert got(found) == [] and got(trips) == []

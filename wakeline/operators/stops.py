@@ -8,7 +8,8 @@ What lies between two stops of a mover is a trip.
 
 Blocks of a track (``track_blocks``) are clustered apart. A stop that crosses a border
 is seen from both sides and its parts are joined where they overlap, or where a silence
-parts them and nothing else does. Parts per mover are bounded by time, not by rows.
+parts them and nothing else does. A single fix at a border is left to the block that has
+it in its middle, and passed over where the parts around it meet. Parts per mover are bounded by time, not by rows.
 
 Defined results: fixes with a null or impossible coordinate, time or mover are left out;
 copies count once; a mover that never rests has no stop and no trip; a silence belongs
@@ -113,6 +114,8 @@ def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0,
                 if (a, b) in found or not (opens or closes or t[b] - t[a] >= least_s):
                     continue
                 found.add((a, b))
+                if a == b and not core[a]:
+                    continue
                 rows.append(("part", mmsi, block, c["us"][a], c["us"][b], b - a + 1, mx, my, mx, my, way[a] - zero, way[b] - zero, opens, closes))
     kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 6, pa.bool_(), pa.bool_()]
     names = [f.split()[0] for f in OUT.split(",")]
@@ -137,12 +140,18 @@ def _joined(parts: DataFrame, radius_m: float, least_s: int) -> DataFrame:
         (F.sum(F.col("way_end") + F.col("bridge")).over(mover) - F.col("way_end")).alias("base"),
     )
     in_order = Window.partitionBy("mmsi").orderBy("start_us", "end_us", "block")
+    pieces = parts.where("kind = 'part'")
+    # single strays between two parts of one stop
+    a, b = ({k: f(k).over(in_order) for k in ("lon", "lat", "start_us", "end_us", "closes", "opens", "block")} for f in (F.lag, F.lead))
+    meet = (b["start_us"] <= a["end_us"]) | (a["closes"] & b["opens"] & (a["block"] < b["block"]))
+    stray = (F.col("n") == 1) & meet & (haversine_m(a["lon"], a["lat"], b["lon"], b["lat"]) <= radius_m)
+    pieces = pieces.withColumn("stray", F.coalesce(stray, F.lit(False))).where("not stray")
     before = {k: F.lag(k).over(in_order) for k in ("lon", "lat", "closes", "block")}
     until = F.max("end_us").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     near = haversine_m(before["lon"], before["lat"], F.col("lon"), F.col("lat")) <= radius_m
     meets = (F.col("start_us") <= until) | (before["closes"] & F.col("opens") & (before["block"] < F.col("block")))
     return (
-        parts.where("kind = 'part'").join(base, ["mmsi", "block"], "left")
+        pieces.join(base, ["mmsi", "block"], "left")
         .withColumn("fresh", F.when(near & meets, 0).otherwise(1))
         .withColumn("stop", F.sum("fresh").over(in_order))
         .groupBy("mmsi", "stop")
