@@ -290,3 +290,8 @@ def test_subjects_by_held_out_accuracy(spark):
 
 def test_tokens():
     assert subjects.tokens("commit abc\nreadDrought sprint_number ab f00d Wheat\nindex 12..34") == ["read", "drought", "sprint", "number", "wheat"]
+
+
+def test_only_headers_and_addresses_are_no_text():
+    text = "commit 0123abcd\nFrom 0123abcd Mon Sep\nindex 01ab..23cd 100644\nFrom now on anchors\ncommitted ropes\nindexes of cables\nsee https://a.example/harbour for tides\n"
+    assert subjects.tokens(text) == "from now anchors committed ropes indexes cables see for tides".split()

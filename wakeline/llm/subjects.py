@@ -18,7 +18,7 @@
    lowers the cross-entropy: a single word in passing is not enough.
 
 Several subjects may be accepted. Defined results: header lines (commit, author, date,
-sign-off, index) are no text; null, empty and unmarked texts have no subject; labels of
+sign-off, index) and addresses (URLs) are no text; null, empty and unmarked texts have no subject; labels of
 unknown documents are ignored; repeated labels count once; documents are judged alike at
 every corpus size; empty in, empty out.
 """
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from wakeline.workspace import scratch
 
-HEADER = re.compile(r"^(?:commit|Author:|From|Date:|index|@@|\s*Signed-off-by:|\s*\(cherry picked|.*://).*$", re.M)
+HEADER = re.compile(r"^(?:commit [0-9a-f]{7,}\b|Author:|From(?::| [0-9a-f]{7,}\b)|Date:|index [0-9a-f]+[., ]|@@|\s*Signed-off-by:|\s*\(cherry picked).*$|[A-Za-z][\w+.-]*://\S+", re.M)
 TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]{3,}+(?!\d)")
 CAMEL = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+")
 
