@@ -61,6 +61,43 @@ def test_still_vessels_may_turn(spark):
     assert got(spikes.bad_readings(frame(spark, rows))) == [(101, "sog")]
 
 
+def noisy(m, sd, seed):
+    return [(m, t, x, y, max(10 + random.Random(seed * 10_000 + i).gauss(0, sd), 0.0), cog, None) for i, (_, t, x, y, _, cog, _) in enumerate(voyage(m, hours=60))]
+
+
+def test_cutoffs_are_each_movers_own(spark):
+    """A reading that is normal for one mover is a spike for another: no constant names both right."""
+    quiet, wild = noisy(1, 0.1, 3), noisy(2, 2.5, 4)
+    rows = quiet + wild
+    for at in (300, len(quiet) + 300):
+        rows[at] = (*rows[at][:4], 17.0, *rows[at][5:])
+    assert got(spikes.bad_readings(frame(spark, rows))) == [(301, "sog")]
+
+
+def test_the_fit_finds_the_level_of_a_risk_in_spite_of_faults():
+    rng = np.random.default_rng(1)
+    edges = spikes.EDGES["sog"]
+    normal = rng.exponential(0.5, 200_000)
+    for faults in (0, 800):
+        r = np.r_[normal, rng.uniform(5, 60, faults)]
+        counts = np.bincount(np.searchsorted(edges, r), minlength=len(edges) + 1)[None].astype(float)
+        cutoff, _ = spikes.fit_tail(counts, edges, 0.0, risk=1e-6, peaks=0.05)
+        assert abs(cutoff[0] / (0.5 * np.log(1e6)) - 1) < 0.15
+
+
+@pytest.mark.parametrize("minutes", [10, 25, 40, 60, 240])
+def test_stuck_runs_cross_the_borders_of_blocks(spark, minutes):
+    size = spikes.BLOCK_S
+    offset = size - int(START.timestamp()) % size  # the border after the start
+    rows = voyage(hours=200, step=minutes * 60)
+    border = next(k for k, r in enumerate(rows) if r[1] >= offset)
+    for first in (border - 6, border + 30):
+        stuck = [(*r[:6], 97) if first <= k < first + 12 else r for k, r in enumerate(rows)]
+        assert {i for i, f in got(spikes.bad_readings(frame(spark, stuck))) if f == "heading"} == {k + 1 for k in range(first, first + 12)}
+        short = [(*r[:6], 97) if first <= k < first + 9 else r for k, r in enumerate(rows)]
+        assert not [i for i, f in got(spikes.bad_readings(frame(spark, short))) if f == "heading"]
+
+
 def test_spikes_of_nothing_and_nulls(spark):
     assert got(spikes.bad_readings(frame(spark, []))) == []
     rows = spark.createDataFrame([(1, None, None, None, None, None, None, -1.0, None, None, None, None), (2, 5, None, None, None, 1.0, 1.0, None, 500.0, None, None, None)], POSITIONS)
