@@ -228,11 +228,56 @@ def test_leaks(spark):
     assert got(leaks.leaked(df.limit(0), items)) == [] and got(leaks.leaked(df, items.limit(0))) == []
 
 
-def test_leaks_without_a_vocabulary(spark, monkeypatch):
+def planted(rng, n):
+    """Passages, and documents that repeat one with other names and numbers; consistently or not."""
+    plain = [f"{a}{b}" for a in "lo ma ne pi ru sa to vu".split() for b in "ber dan fil gor kel".split()]
+    names = [f"{a}{b}" for a in "Ark Bel Cor Dun Eld Fen Gul Hal".split() for b in "holm wick stad ford mere".split()]
+    items, docs, truth = [], [], set()
+    for i in range(n):
+        own = rng.sample(names, 3)
+        words = [rng.choice(plain) for _ in range(30)]
+        for k, name in zip((4, 9, 14, 20), (own[0], own[1], own[0], own[2])):
+            words[k] = name
+        words[11] = str(rng.randrange(10, 99))
+        items.append((i, " ".join(words).capitalize().replace(own[0].lower(), own[0]).replace(own[1].lower(), own[1]).replace(own[2].lower(), own[2]) + "."))
+        new = rng.sample([x for x in names if x not in own], 4)
+        swap = {own[0]: new[0], own[1]: new[1], own[2]: new[2]}
+        for kind in ("consistent", "torn"):
+            changed = [swap.get(w, w) for w in words]
+            changed[11] = "77"
+            if kind == "torn":
+                changed[14] = new[3]  # the same name replaced by two others
+            else:
+                truth.add((len(docs), i))
+            docs.append((len(docs), "so it was. and then " + " ".join(changed) + " as they say"))
+    return items, docs, truth
+
+
+def test_reparameterised_leaks_by_recall(spark):
+    items, docs, truth = planted(random.Random(4), 60)
+    out = leaks.reparameterised(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    found = {(d, i) for d, i, *_ in got(out)}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 0.1 * len(truth)
+
+
+@pytest.mark.parametrize("chars", [1, 500])
+def test_leaks_are_the_same_in_any_number_of_blocks(spark, monkeypatch, chars):
+    items, docs, _ = planted(random.Random(5), 12)
+    docs += [(900 + i, p.upper()) for i, p in items[:5]]
+    df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    want = got(leaks.leaked(df, held)), got(leaks.reparameterised(df, held))
+    assert {(900 + i, i) for i in range(5)} <= set(want[0]) and want[1]
+    monkeypatch.setattr(leaks, "MOST_CHARS", chars if chars > 1 else 800)
+    assert (got(leaks.leaked(df, held)), got(leaks.reparameterised(df, held))) == want
+
+
+def test_slots_decide_what_is_a_verbatim_leak(spark):
+    """Without the slots every re-parameterised window would be a leak."""
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, passage string")
-    df = spark.createDataFrame([(1, PASSAGE), (2, "nothing of the kind in these twelve words that are all quite ordinary here")], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "MOST_WORDS", 3)
-    assert got(leaks.leaked(df, items)) == [(1, 1)]
+    other = PASSAGE.replace("Mimlestos", "Gelheltuk")
+    df = spark.createDataFrame([(1, PASSAGE), (2, " ".join(other.split()[:13]))], "doc_id long, text string")
+    met = leaks.template_matches(df, items, size=12, by_case=False)
+    assert set(got(met.select("doc_id").distinct())) == {(1,), (2,)} and got(leaks.leaked(df, items)) == [(1, 1)]
 
 
 def test_windows_equal_brute_force(spark):

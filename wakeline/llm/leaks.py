@@ -2,17 +2,21 @@
 
 A word is canonicalised to a template token: numbers, unit words and the proper names
 of the held-out passages become typed placeholders, every other word stands for itself.
-Because this depends on the lower-case word alone, equal word windows always have equal
-template windows. Windows of ``size`` template tokens are hashed and joined; then the
-slots decide: where they hold the same words the window is a verbatim leak, where each
-slot value of the item is replaced by one and the same other value throughout, the item
-was re-parameterised.
-
-Document windows are made only where every token occurs in some passage. That loses
-nothing, and leaves a corpus of code and prose with almost none. The vocabulary is that
-of the held-out passages; up to ``MOST_WORDS`` distinct words it goes to the executors
-with the function, beyond that windows are made of all documents and only the join
-decides.
+Windows of ``size`` template tokens are hashed and joined; then the slots, the words that
+stand for placeholders, decide. Where all slots hold the item's own words the window is a
+verbatim leak. Where each slot value of the item is replaced by one and the same other
+value throughout, the item was re-parameterised.
+
+What a name is depends on the reading. For verbatim leaks a word is a name wherever its
+lower-case form is one in the passages, so that equal words have equal templates in any
+case. For re-parameterised leaks, whose names the passages cannot know, a word is a name
+where it has a capital inside a sentence.
+
+Document windows are made only where every token is a placeholder or occurs in some
+passage. That loses nothing, and leaves a corpus of code and prose with almost none. The
+words of the passages go to the executors with the function: passages are taken in
+blocks of at most about ``MOST_CHARS`` characters, one pass over the documents each, so
+what is sent is bounded and every number of blocks gives the same rows.
 
 Defined results: words are runs of letters and digits, case ignored; markup tags,
 punctuation, underscores and line markers between them do not matter; null or empty
@@ -36,10 +40,12 @@ TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->")
 #: Units and number words that take the place of figures.
 UNITS = "mm cm m km kg g mg t lb oz l ml s ms min h hours minutes seconds metres meters miles feet inches percent dollars euros".split()
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand".split()
-MOST_WORDS = 200_000
+#: Characters of passages whose words are sent to the executors at once.
+MOST_CHARS = 16_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 WINDOWS = "key long, template long, words long, slots array<string>"
+NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
 
 
 def words_of(text: str) -> list[str]:
@@ -47,51 +53,77 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(TAG.sub(" ", text) if "<" in text else text)
 
 
-def _named(passages: list[str]) -> set[str]:
-    """Words that occur in the passages with a capital inside a sentence, and never without one."""
-    inside, plain = set(), set()
-    for text in passages:
-        for m in WORD.finditer(text):
-            w = m.group()
-            if w.islower():
-                plain.add(w)
-            elif w[0].isupper() and m.start() and text[: m.start()].rstrip(" \t\n\"'(")[-1:] not in (".", "!", "?", ""):
-                inside.add(w.lower())
-    return inside - plain
+def _starts(before: str) -> bool:
+    """Whether a word begins a sentence, by what stands between it and the word before."""
+    return not before or any(c in ".!?" for c in before)
 
 
-def _value(token: str) -> int:
-    return xxhash.xxh64_intdigest(token)
+def read(text: str) -> tuple[list[str], list[bool]]:
+    """The words of a text as written, and which have a capital inside a sentence."""
+    text = TAG.sub(" ", text) if "<" in text else text
+    words, named, end = [], [], 0
+    for m in WORD.finditer(text):
+        w = m.group()
+        words.append(w)
+        named.append(w[0].isupper() and not w.isupper() and end > 0 and not _starts(text[end : m.start()]))
+        end = m.end()
+    return words, named
 
 
-def template_of(word: str, lower: str, names: set[str], vocabulary: set[str] | None) -> str:
-    """The template token of a word; words the passages don't know are names if capitalised."""
-    if lower.isdigit():
-        return "\x01number"
-    if lower in names:
-        return "\x01name"
-    if lower in _NUMBERS:
-        return "\x01number"
+def lexicon(items: DataFrame, passage: str = "passage") -> DataFrame:
+    """(word, named): the lower-case words of all passages, and whether each is a name: seen
+    with a capital inside a sentence and never without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside: dict[str, bool] = {}
+            plain: dict[str, bool] = {}
+            for text in batch.column(0).to_pylist():
+                for w, named in zip(*read(text or "")):
+                    lower = w.lower()
+                    inside[lower] = inside.get(lower, False) or named
+                    plain[lower] = plain.get(lower, False) or w.islower()
+            yield pa.RecordBatch.from_arrays([pa.array(list(inside), pa.string()), pa.array(list(inside.values()), pa.bool_()), pa.array(list(plain.values()), pa.bool_())], names=["word", "inside", "plain"])
+
+    seen = items.select(F.col(passage)).mapInArrow(run, "word string, inside boolean, plain boolean")
+    return seen.groupBy("word").agg((F.max("inside") & ~F.max("plain")).alias("named"))
+
+
+def template_of(lower: str, named: bool, vocabulary: dict[str, bool]) -> str:
+    """The template token of a word; empty if no passage can hold it."""
+    if lower.isdigit() or lower in _NUMBERS:
+        return NUMBER
+    if named:
+        return NAME
     if lower in _UNITS:
-        return "\x01unit"
-    if vocabulary is not None and lower not in vocabulary:
-        return "\x01name" if word[0].isupper() and not word.isupper() else ""
-    return lower
+        return UNIT
+    return lower if lower in vocabulary else ""
 
 
 _NUMBERS, _UNITS = frozenset(NUMBERS), frozenset(UNITS)
 
 
-def windows(rows: DataFrame, key: str, text: str, lexicon: tuple[set[str], set[str] | None], size: int, slots: bool) -> DataFrame:
+def windows(rows: DataFrame, key: str, text: str, vocabulary: dict[str, bool], size: int, by_case: bool) -> DataFrame:
     """(key, template, words, slots): one row per window of ``size`` words.
 
-    ``template`` and ``words`` are 64-bit rolling hashes of the template and of the words
-    themselves; ``slots`` holds the placeholders' words if asked for."""
-    names, vocabulary = lexicon
+    ``template`` and ``words`` are 64-bit hashes of the template and of the words
+    themselves; ``slots`` holds the placeholders' words. Names are told by the vocabulary,
+    or by their capitals (``by_case``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, bool]] = {}
+        known: dict[tuple[str, bool], tuple[int, int, bool]] = {}
         powers = np.power(BASE, np.arange(size, dtype=np.uint64))
+
+        def code(w: str, named: bool) -> tuple[int, int, bool]:
+            c = known.get((w, named))
+            if c is None:
+                lower = w.lower()
+                t = template_of(lower, named if by_case else vocabulary.get(lower, False), vocabulary)
+                c = (xxhash.xxh64_intdigest(t) if t else 0, xxhash.xxh64_intdigest(lower), t[:1] == "\x01")
+                if len(known) < 2_000_000:
+                    known[w, named] = c
+            return c
+
         for batch in batches:
             out_key: list[np.ndarray] = []
             out_t: list[np.ndarray] = []
@@ -100,19 +132,14 @@ def windows(rows: DataFrame, key: str, text: str, lexicon: tuple[set[str], set[s
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not body:
                     continue
-                found = words_of(body)
+                if by_case:
+                    found, named = read(body)
+                    coded = [code(w, n) for w, n in zip(found, named)]
+                else:
+                    found = words_of(body)
+                    coded = [known.get((w, False)) or code(w, False) for w in found]
                 if len(found) < size:
                     continue
-                coded = []
-                for w in found:
-                    c = known.get(w)
-                    if c is None:
-                        lower = w.lower()
-                        t = template_of(w, lower, names, vocabulary)
-                        c = (_value(t) if t else 0, _value(lower), t[:1] == "\x01")
-                        if len(known) < 2_000_000:
-                            known[w] = c
-                    coded.append(c)
                 t = np.fromiter((c[0] for c in coded), np.uint64, len(coded))
                 n = len(t) - size + 1
                 outside = np.r_[0, np.cumsum(t == 0)]
@@ -125,10 +152,7 @@ def windows(rows: DataFrame, key: str, text: str, lexicon: tuple[set[str], set[s
                     out_t.append((t[spans] * powers).sum(1, dtype=np.uint64))
                     out_w.append((v[spans] * powers).sum(1, dtype=np.uint64))
                 out_key.append(np.full(len(at), k, np.int64))
-                if slots:
-                    out_s += [[found[j].lower() for j in range(i, i + size) if coded[j][2]] for i in at.tolist()]
-                else:
-                    out_s += [None] * len(at)
+                out_s += [[found[j].lower() for j in range(i, i + size) if coded[j][2]] for i in at.tolist()]
             cat = lambda x, kind: np.concatenate(x).view(np.int64) if x else np.array([], kind)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cat(out_key, np.int64)), pa.array(cat(out_t, np.int64)), pa.array(cat(out_w, np.int64)), pa.array(out_s, pa.list_(pa.string()))],
@@ -138,35 +162,37 @@ def windows(rows: DataFrame, key: str, text: str, lexicon: tuple[set[str], set[s
     return rows.select(F.col(key).cast("long"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(cut, WINDOWS)
 
 
-def _lexicon(items: DataFrame, passage: str) -> tuple[set[str], set[str] | None]:
-    """Names and vocabulary of the passages, or no vocabulary where they have too many words."""
-    words = items.select(F.explode(F.regexp_extract_all(F.lower(passage), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    if words.distinct().count() > MOST_WORDS:
-        return set(), None
-    passages = [r[0] for r in items.where(F.col(passage).isNotNull()).select(passage).collect()]  # bounded by the count above
-    return _named(passages), {w.lower() for p in passages for w in words_of(p)}
-
-
-def template_matches(documents: DataFrame, items: DataFrame, *, size: int, slots: bool, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
+def template_matches(documents: DataFrame, items: DataFrame, *, size: int, by_case: bool, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
     """Pairs of equal template windows: doc, item and both word hashes and slots."""
-    items = items.select(item, passage)
-    lexicon = _lexicon(items, passage)
-    held = windows(items.repartition(1) if lexicon[1] is not None else items, item, passage, lexicon, size, slots).distinct()
-    held = held.select(F.col("key").alias("item_id"), "template", F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
-    seen = windows(documents, key, text, lexicon, size, slots).select(F.col("key").alias("doc_id"), "template", F.col("words").alias("doc_words"), F.col("slots").alias("doc_slots"))
-    return seen.join(held, "template")
+    items = items.select(item, passage).where(F.col(passage).isNotNull())
+    words = lexicon(items, passage)
+    chars = items.agg(F.sum(F.length(passage))).first()[0] or 0
+    blocks = max(1, -(-chars // MOST_CHARS))
+    out = None
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == k)
+        own = words if blocks == 1 else words.join(lexicon(block, passage).select("word"), "word", "left_semi")
+        vocabulary = {r.word: r.named for r in own.collect()}  # bounded by MOST_CHARS
+        held = windows(block, item, passage, vocabulary, size, by_case).distinct()
+        held = held.select(F.col("key").alias("item_id"), "template", F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
+        seen = windows(documents, key, text, vocabulary, size, by_case).select(F.col("key").alias("doc_id"), "template", F.col("words").alias("doc_words"), F.col("slots").alias("doc_slots"))
+        met = seen.join(held, "template")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def leaked(documents: DataFrame, items: DataFrame, *, size: int = 12, **columns: str) -> DataFrame:
-    """(doc_id, item_id) where the document holds ``size`` consecutive words of the passage."""
-    met = template_matches(documents, items, size=size, slots=False, **columns)
-    return met.where("doc_words = item_words").select("doc_id", "item_id").distinct()
+    """(doc_id, item_id) where the document holds ``size`` consecutive words of the passage:
+    equal templates whose slots hold the item's own words. Equal hashes of the words
+    follow as an exact check."""
+    met = template_matches(documents, items, size=size, by_case=False, **columns)
+    return met.where("doc_slots = item_slots and doc_words = item_words").select("doc_id", "item_id").distinct()
 
 
 def reparameterised(documents: DataFrame, items: DataFrame, *, size: int = 12, **columns: str) -> DataFrame:
     """(doc_id, item_id, windows, replaced): documents that repeat an item's template with
     other names, numbers or units, each replaced consistently wherever it occurs."""
-    met = template_matches(documents, items, size=size, slots=True, **columns).where("size(item_slots) > 0")
+    met = template_matches(documents, items, size=size, by_case=True, **columns).where("size(item_slots) > 0")
     pairs = met.select("doc_id", "item_id", "template", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
         "doc_id", "item_id", "template", F.col("z.item_slots").alias("old"), F.col("z.doc_slots").alias("new")
     )
