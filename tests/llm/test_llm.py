@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -333,6 +335,33 @@ def test_subjects_by_held_out_accuracy(spark):
     assert share == {"a": 2}
 
 
+def test_calibration_lies_between_words_in_passing_and_subjects():
+    """Labels are incomplete and now and then wrong; the middle of the curve is found all the same."""
+    rng = np.random.default_rng(3)
+    nats = np.r_[rng.uniform(0, 0.2, 4000), rng.uniform(4, 6.2, 200), rng.uniform(15, 90, 700)]
+    true = np.r_[np.zeros(4200), np.ones(700)]
+    label = np.where(true > 0, rng.random(4900) < 0.8, rng.random(4900) < 0.004).astype(float)
+    assert 6.2 < subjects.calibrated(nats, label) < 16
+
+
+def test_models_and_background_decide(spark):
+    """Without own models no subject saves a nat; bigrams change the cross-entropies."""
+    rng = random.Random(8)
+    docs, _ = corpus(rng, 300)
+    held = subjects.hashed(spark.createDataFrame(docs, "doc_id long, text string"))
+    model = subjects.train(held, spark.createDataFrame([(i, s) for i, t in docs[:80] for s in TERMS if sum(w in t.split() for w in TERMS[s]) > 3], "doc_id long, subject string"))
+    rows = held.orderBy("doc_id").collect()
+    hashes, doc, n = subjects._open(pa.array([r.words for r in rows], pa.binary()))
+    got, saved = subjects.score(hashes, doc, n, model)
+    assert saved.max() > model.least_nats > 0 and len(model.pairs)
+    flat = subjects.replace(model, own=np.repeat(model.background[:, None], 4, 1), pairs=model.pairs[:0])
+    assert subjects.score(hashes, doc, n, flat)[1].max() < 1e-6
+    words_only = subjects.score(hashes, doc, n, subjects.replace(model, pairs=model.pairs[:0]))[1]
+    assert np.abs(words_only - saved).max() > 0.1
+    one = [i for i, (_, t) in enumerate(docs) if sum(w in t.split() for s in TERMS for w in set(TERMS[s])) == 1]
+    assert one and saved[one].max() < model.least_nats  # a word in passing, however often, is not enough
+
+
 def test_tokens():
     assert subjects.tokens("commit abc\nreadDrought sprint_number ab f00d Wheat\nindex 12..34") == ["read", "drought", "sprint", "number", "wheat"]
 
