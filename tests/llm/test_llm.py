@@ -163,6 +163,23 @@ def test_destinations(spark, at, monkeypatch, limit):
     assert set(dict(got(destinations.bound_for(messages(spark, at, texts), ports.limit(0)))).values()) == {-1}
 
 
+def test_tokens_meet_the_vocabulary_as_by_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ABEKN") for _ in range(rng.randrange(2, 10)))
+    typed, known = {(rng.choice("twcs"), word()) for _ in range(250)}, {(rng.choice("twcs"), word()) for _ in range(250)}
+    out = got(destinations.repaired(spark.createDataFrame(sorted(typed), "kind string, token string"), spark.createDataFrame(sorted(known), "kind string, form string")))
+    near = {(k, t, f, distance(t, f, 2)) for k, t in typed for j, f in known if j == k and distance(t, f, 2) <= destinations._allowed(k, t, f)}
+    exact = {(k, t) for k, t, f, d in near if k == "t" and d == 0}
+    assert set(out) == {x for x in near if x[:2] not in exact or x[3] == 0} and len(out) > 40
+
+
+def test_rare_tokens_outweigh_frequent_ones(spark):
+    ports = [(1, "Lower Kanbex", "XA", None), (2, "Upper Kanbex", "XA", None)] + [(10 + k, f"Lower {w}", "XA", None) for k, w in enumerate("Rusnam Tipemhal Dolgar Zimbur Fenhal".split())]
+    table = spark.createDataFrame([(*p, 0.0, 0.0) for p in ports], "id int, name string, country string, un_locode string, lon double, lat double")
+    texts = spark.createDataFrame([("LOWR KANBEXX",), ("UPER KANBX",), ("LOWER RUSNMA",), ("LOWER",)], "text string")
+    assert dict(got(destinations.resolved(texts, table))) == {"LOWR KANBEXX": [1], "UPER KANBX": [2], "LOWER RUSNMA": [10], "LOWER": []}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 30), max_size=25))
 def test_plan_holds_every_item_once(sizes):
