@@ -163,6 +163,31 @@ def test_strays_at_borders_of_blocks_do_not_end_a_stop(spark):
         assert stop.duration_s == rows[-1][1] and trips.count() == 0
 
 
+def test_core_fixes_equal_brute_force():
+    rng = np.random.default_rng(2)
+    t = np.cumsum(rng.choice([20, 200, 900, 7000], 400).astype(float))
+    group = np.repeat([1, 2], 200)
+    x, y = np.cumsum(rng.choice([0, 0.004, 0.004, 0.004], 400)), rng.normal(0, 5e-4, 400)
+    dense, clock = stops.core_fixes(x, y, group, t, 500.0, 2400.0, 1200.0, 1800.0)
+    for i in range(400):
+        stay = 0.0
+        for j in range(399):
+            ends = [k for k in (j, j + 1) if group[k] == group[i] and abs(clock[k] - clock[i]) <= 2400 and stops._metres(x[k], y[k], x[i], y[i]) <= 500]
+            stay += min(t[j + 1] - t[j], 1800) if len(ends) == 2 else 0
+        assert dense[i] == (stay >= 1200), i
+    assert 20 < dense.sum() < 390
+
+
+def test_no_cluster_no_stop(spark, monkeypatch):
+    """Stops come from core fixes: without them none is found."""
+    rows = track(1, [("stay", 9 * 3600, 0, 0), ("go", 6 * 3600, 0, 1), ("stay", 9 * 3600, 1, 1), ("go", 6 * 3600, 1, 2)])
+    assert stops.stops_and_trips(frame(spark, rows))[0].count() == 2
+    c = {k: np.array([r[i] for r in rows], float) for k, i in (("lon", 2), ("lat", 3))} | {"us": np.array([int(r[1] * 1e6) for r in rows]), "core": np.ones(len(rows)), "mmsi": np.ones(len(rows), int), "block": np.zeros(len(rows), int)}
+    group = np.zeros(len(rows), int)
+    long = lambda out: sum(k == "part" and z - a > 3.6e9 for k, a, z in zip(*(out.column(n).to_pylist() for n in ("kind", "start_us", "end_us"))))
+    assert long(stops.cluster(c, group)) == 2 and long(stops.cluster(c, group, least_stay_s=1e9)) == 1  # what touches the border
+
+
 def test_no_stops(spark):
     found, trips = stops.stops_and_trips(frame(spark, []))
     assert got(found) == [] and got(trips) == []

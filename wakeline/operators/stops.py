@@ -1,10 +1,14 @@
 """Stops and trips from location pings, in spite of noise, stray fixes and silences.
 
-Stops are clusters in space and time: where the track, freed of single stray fixes,
-is again within ``radius_m`` after ``reach_s``, fixes are dense and seed a cluster. A
-cluster grows along the track while fixes lie within the radius of its middle (the
-median), passing over single strays, and its middle is taken anew until both agree.
-What lies between two stops of a mover is a trip.
+Stops are density clusters in space and time. A fix is a core fix if the mover spends at
+least ``least_stay_s`` within ``radius_m`` of it and within ``reach_s`` before and after;
+fixes come at uneven intervals, so the minimum is of time, not of points: legs of the track
+count with their length, a silence with at most ``silence_s``, and single stray fixes
+are removed first. Core fixes that follow each other within the same distance and
+time are density-reachable and make one cluster; what is in no cluster is noise, in order a
+trip. Each cluster is then brought to what a stop is: it takes in all fixes along the track
+within the radius of its middle (the median), passing over single strays, until cluster and
+middle agree.
 
 Blocks of a track (``track_blocks``) are clustered apart. A stop that crosses a border
 is seen from both sides and its parts are joined where they overlap, or where a silence
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import haversine_m
-from wakeline.operators.spikes import M_PER_DEG, _at, _shift
+from wakeline.operators.spikes import M_PER_DEG, _shift
 from wakeline.operators.track_blocks import in_blocks, map_blocks
 from wakeline.workspace import cut
 
@@ -77,7 +81,34 @@ def _split(lon: np.ndarray, lat: np.ndarray, a: int, b: int, x: float, y: float,
     return [(a + int(s), a + int(e)) for s, e in zip(near[np.r_[0, cuts + 1]], near[np.r_[cuts, len(near) - 1]])]
 
 
-def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0, least_s: float = 3600.0, reach_s: float = 1200.0) -> pa.Table:
+def core_fixes(x: np.ndarray, y: np.ndarray, group: np.ndarray, t: np.ndarray, radius: float, reach_s: float, least_stay_s: float, silence_s: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each fix is a core fix, and the time along the track with silences cut short.
+
+    The k-th following fix is looked at for all fixes at once; a leg counts for a fix if both
+    its ends are near."""
+    n = len(t)
+    leg = np.minimum(np.diff(t, prepend=t[:1]), silence_s)  # the leg that ends at each fix
+    leg[np.r_[True, group[1:] != group[:-1]]] = 0
+    clock = np.cumsum(leg)
+    stay = np.zeros(n)
+    at, held, now = np.arange(n), np.ones(n, bool), np.ones(n, bool)  # held: is the k-th following fix near
+    for k in range(1, n):
+        at = at[at + k < n]
+        at = at[(group[at + k] == group[at]) & (clock[at + k] - clock[at] <= reach_s)]
+        if not len(at):
+            break
+        now = np.zeros(n, bool)
+        now[at] = _metres(x[at + k], y[at + k], x[at], y[at]) <= radius
+        near = at[now[at]]
+        ahead = near[held[near]]  # legs from the fix onwards
+        stay[ahead] += leg[ahead + k]
+        behind = near[held[near + 1]]  # legs up to the fix
+        stay[behind + k] += leg[behind + 1]
+        held = now
+    return stay >= least_stay_s, clock
+
+
+def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0, least_s: float = 3600.0, reach_s: float = 2400.0, least_stay_s: float = 1200.0, silence_s: float = 1800.0) -> pa.Table:
     """Parts of stops, and the way made, of whole blocks."""
     t, lon, lat, core = c["us"] / 1e6, c["lon"], c["lat"], c["core"].astype(bool)
     n = len(t)
@@ -87,8 +118,7 @@ def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0,
     leg[1:] = np.where(same[1:], np.hypot((x[1:] - x[:-1]) * np.cos(np.radians((y[1:] + y[:-1]) / 2)), y[1:] - y[:-1]) * M_PER_DEG, 0.0)
     way = np.cumsum(leg)
     first, last = np.flatnonzero(~same), np.r_[np.flatnonzero(~same)[1:] - 1, n - 1]
-    _, late = _at(x, y, group, t, reach_s)
-    held = (late >= 0) & (_metres(x, y, x[np.maximum(late, 0)], y[np.maximum(late, 0)]) <= 0.8 * radius)
+    dense, clock = core_fixes(x, y, group, t, radius, reach_s, least_stay_s, silence_s)
     rows: list[tuple] = []
     for low, high in zip(first, last):
         mmsi, block = int(c["mmsi"][low]), int(c["block"][low])
@@ -98,11 +128,12 @@ def cluster(c: dict[str, np.ndarray], group: np.ndarray, radius: float = 500.0,
         i, j = mine[0], mine[-1]
         zero = way[i] - leg[i]
         rows.append(("block", mmsi, block, c["us"][i], c["us"][j], len(mine), lon[i], lat[i], lon[j], lat[j], 0.0, way[j] - zero, i > low, False))
-        seeds = np.flatnonzero(held[low : high + 1]) + low
-        ranges = [(low, low), (high, high)]
+        seeds = np.flatnonzero(dense[low : high + 1]) + low
+        ranges = [(low, low), (high, high)]  # what goes on in the blocks beside
         if len(seeds):
-            cuts = np.flatnonzero(np.diff(seeds) > 1)
-            ranges += [(int(s), int(late[e])) for s, e in zip(seeds[np.r_[0, cuts + 1]], seeds[np.r_[cuts, len(seeds) - 1]])]
+            apart = (_metres(x[seeds[1:]], y[seeds[1:]], x[seeds[:-1]], y[seeds[:-1]]) > radius) | (np.diff(clock[seeds]) > reach_s)
+            cuts = np.flatnonzero(apart)
+            ranges += [(int(s), int(e)) for s, e in zip(seeds[np.r_[0, cuts + 1]], seeds[np.r_[cuts, len(seeds) - 1]])]
         found: set[tuple[int, int]] = set()
         for s, e in sorted(ranges, key=lambda r: r[0] - r[1]):
             if any(a <= s and e <= b for a, b in found):
