@@ -83,6 +83,23 @@ def test_same_operator(spark, monkeypatch, hot):
     assert got(names.same_operator(operators(spark, NAMES).limit(0))) == []
 
 
+def test_general_names(spark):
+    rows = [
+        (1, "Michael Brandt", None), (2, "Brandt, Michael", None), (3, "Mike Brandt", None), (4, "Capt. M. Brandt", None), (5, "Thomas Weber", None), (6, "Tom Weber", None), (7, "Weber, T.", None),
+        (8, "Acme Delta Trading Ltd", None), (9, "ACME DELTA TRADERS", None), (10, "Acme Delta Holdings", None), (11, "Kowalczyk, Zbyszko", None), (12, "Zbyszko Kowalczyk", None), (13, "Susan Brandt", None),
+    ]
+    out = got(names.same_operator(operators(spark, rows)))
+    assert set(out) == set(pairs_of([[1, 2, 3, 4], [5, 6, 7], [8, 9], [11, 12]]))
+    links = {i: n for i, _, n in got(names.classes(operators(spark, rows)))}
+    assert links == {i: sum(i in p for p in out) for i in range(1, 14)}
+
+
+def test_classes_count_no_links_between_countries(spark):
+    rows = [(k, "Kanbexnem Pixfekbur Towage", c) for k, c in enumerate([None, '{"country":"XA"}', '{"country":"XA"}', '{"country":"XB"}', None], 1)]
+    out = got(names.same_operator(operators(spark, rows)))
+    assert {i: n for i, _, n in got(names.classes(operators(spark, rows)))} == {i: sum(i in p for p in out) for i in range(1, 6)}
+
+
 def linked(spark, rows):
     reps = names.cut(names.readings(operators(spark, rows)))
     return {(r.x, r.y) for r in names._judged(reps, names._candidates(reps)).collect()}

@@ -20,6 +20,9 @@ business must agree, and known countries must not differ.
 4. Groups are the connected components of the links, found by label propagation with
    pointer jumping over checkpointed tables.
 
+Names of companies need a known line of business or legal form to be read as such; given
+names outside the list stand for themselves, before the surname or after a comma.
+
 Defined results: null and empty names mean nothing and pair with nothing; rows with equal
 ids count once; unreadable metadata is no evidence; empty in, empty out.
 """
@@ -43,6 +46,7 @@ MOST_EDITS = 2
 HOT = 200
 #: Rows whose keys are made at once.
 UNIT = 1_000
+SALTS = 8
 
 #: Legal forms and joining words, titles, lines of business and how they are
 #: shortened, and nicknames with the given names that they stand for.
@@ -60,28 +64,143 @@ LINES = {
     "MARINE SERVICES": "MARINE SVCS, MARINE SERV, MAR SERV, MAR SVCS, MAR SERVICES",
     "BULK CARRIERS": "BULKERS, BULK CARR, BULK",
     "SHIP MANAGEMENT": "SHIPMGMT, SHIP MGT, SHIP MGMT, SHIPMANAGEMENT",
+    "AGENCY": "AGENCIES AGENTS",
+    "CARRIERS": "CARRIER CARR",
+    "CHARTERING": "CHARTERERS CHARTERS CHARTER",
+    "CONSTRUCTION": "CONSTR CONSTRUCTIONS",
+    "CRUISES": "CRUISE CRUISING",
+    "DREDGING": "DREDGERS DREDGE",
+    "ENERGY": "ENERGIES",
+    "ENGINEERING": "ENGINEERS ENGG ENGR",
+    "ENTERPRISES": "ENTERPRISE ENTPR",
+    "FISHERIES": "FISHERY FISHING FISH",
+    "GROUP": "GRP GROUPE GRUPPE",
+    "HOLDINGS": "HOLDING HLDG HLDGS",
+    "INDUSTRIES": "INDUSTRY INDS",
+    "INSURANCE": "INSUR INSURERS",
+    "INVESTMENTS": "INVESTMENT INVEST",
+    "LOGISTICS": "LOGISTIC LOGIST",
+    "MANAGEMENT": "MGMT MGT MANAGERS",
+    "PARTNERS": "PARTNER PTNRS",
+    "PETROLEUM": "PETROL",
+    "SALVAGE": "SALVORS SALV",
+    "SERVICES": "SERVICE SERV SVCS",
+    "SHIPYARD": "SHIPYARDS YARD",
+    "STEVEDORING": "STEVEDORES STEVEDORE",
+    "TECHNOLOGIES": "TECHNOLOGY TECHN",
+    "TERMINALS": "TERMINAL",
+    "TRADING": "TRADERS TRADE TRDG",
+    "TRANSPORT": "TRANSPORTS TRANSPORTATION TRANSP",
+    "TRAVEL": "TRAVELS",
+    "YACHTS": "YACHT YACHTING",
 }
 NICKNAMES = {
+    "ABIGAIL": "ABBY GAIL",
+    "ADELHEID": "HEIDI ADELE",
+    "ALBERT": "AL BERT BERTIE",
     "ALEXANDER": "ALEX SASHA SANDY XANDER",
+    "ALEXANDRA": "ALEX SASHA SANDRA LEXI",
+    "ALFRED": "ALF FRED FREDDIE",
+    "ANDREAS": "ANDI DREAS",
+    "ANDREW": "ANDY DREW",
+    "ANTHONY": "TONY ANT",
     "ANTONIA": "TONI NIA TONIA",
+    "ANTONIO": "TONI TONIO TONINO",
+    "ARTHUR": "ART ARTIE",
+    "BARBARA": "BARB BABS BARBIE",
     "BARTHOLOMEW": "BART BARRY BARTY",
+    "BENJAMIN": "BEN BENNY BENJI",
+    "BERNARD": "BERNIE BERN",
+    "CATHERINE": "CATHY KATE CATE KITTY",
+    "CHARLES": "CHARLIE CHUCK CHAS",
+    "CHRISTIAN": "CHRIS",
+    "CHRISTINA": "CHRIS TINA CHRISTY",
+    "CHRISTOPHER": "CHRIS KIT TOPHER",
+    "CLEMENS": "CLEM",
+    "CORNELIS": "KEES COR NELIS",
+    "DANIEL": "DAN DANNY",
+    "DAVID": "DAVE DAVY",
+    "DEBORAH": "DEB DEBBIE",
     "DIMITRIOS": "JIM MITSOS DIMITRIS TAKIS",
+    "DOMINIC": "DOM NICK",
+    "DONALD": "DON DONNY",
+    "DOROTHY": "DOT DOTTIE DOLLY",
     "EDWARD": "ED EDDIE NED TED TEDDY",
     "ELEANOR": "ELLIE NELL NELLIE NORA",
     "ELIZABETH": "LIZ BETTY BETH LIZZIE ELIZA LISA",
+    "EMMANUEL": "MANNY MANOLIS",
+    "EUGENE": "GENE",
+    "FRANCES": "FRAN FANNY FRANNIE",
+    "FRANCIS": "FRANK",
     "FRANCISCO": "PACO FRAN PANCHO CISCO CURRO",
+    "FREDERICK": "FRED FREDDY FRITZ",
     "FREDERIK": "FRED FREEK FREDDY RIK",
+    "FRIEDRICH": "FRITZ FRIEDEL",
+    "GABRIEL": "GABE GABI",
+    "GEORGE": "GEORDIE",
+    "GEORGIOS": "YORGOS GIORGOS YORGO",
+    "GERALD": "GERRY JERRY",
+    "GIOVANNI": "GIANNI NINO VANNI",
     "GIUSEPPE": "BEPPE PINO PEPPE GIUSE",
+    "GREGORY": "GREG",
+    "GUILLERMO": "MEMO GUILLE",
+    "HAROLD": "HARRY HAL",
+    "HENDRIK": "HENK RIK HEIN",
     "HENRIETTA": "ETTA HETTY HATTIE HENNY",
+    "HENRY": "HARRY HANK HAL",
+    "IGNACIO": "NACHO",
+    "ISABELLA": "BELLA IZZY ISA",
+    "IVAN": "VANYA",
+    "JACOB": "JAKE JAAP COBUS",
+    "JAMES": "JIM JIMMY JAMIE",
+    "JEFFREY": "JEFF",
+    "JENNIFER": "JEN JENNY",
+    "JESSICA": "JESS JESSIE",
     "JOHANNES": "HANNES HANS JAN JO JOHN",
+    "JONATHAN": "JON JONNY",
     "JOSEFINA": "PEPA FINA JO JOSIE",
+    "JOSEPH": "JOE JOEY",
+    "JOSHUA": "JOSH",
     "KATHARINA": "KATHI KAT KATE KATJA KATHE",
+    "KENNETH": "KEN KENNY",
+    "KONSTANTINOS": "KOSTAS DINOS COSTA",
+    "LAWRENCE": "LARRY LAURIE",
+    "LEONARD": "LEN LENNY LEO",
+    "LOUISE": "LULU LOU",
     "MARGARET": "PEGGY MAGGIE MEG MARGE",
+    "MARTINA": "TINA",
+    "MATTHEW": "MATT MATTY",
+    "MATTHIAS": "MATZE HIAS",
+    "MAXIMILIAN": "MAX MAXI",
+    "MICHAEL": "MIKE MICK MICKEY MICHA",
+    "MIKHAIL": "MISHA",
+    "NATHANIEL": "NATE NAT",
+    "NICHOLAS": "NICK NICKY",
     "NIKOLAOS": "NIKOS NIKO NICK KLAUS",
+    "PATRICIA": "PAT PATTY TRISH",
+    "PATRICK": "PAT PADDY",
+    "PETER": "PETE",
+    "PHILIP": "PHIL PIP",
+    "RAYMOND": "RAY",
+    "REBECCA": "BECKY BECCA",
     "RICHARD": "DICK RICK RICH RICHIE",
     "ROBERT": "BOB ROB BOBBY ROBBIE BERT",
+    "RONALD": "RON RONNIE",
+    "SAMUEL": "SAM SAMMY",
+    "SERGEY": "SERYOZHA",
+    "STEPHEN": "STEVE STEVIE",
+    "SUSAN": "SUE SUSIE SUZY",
     "THEODORE": "THEO TED TEDDY",
+    "THERESA": "TERRY TESS RESI",
+    "THOMAS": "TOM TOMMY",
+    "TIMOTHY": "TIM TIMMY",
+    "VICTORIA": "VICKY TORI",
+    "VINCENT": "VINCE VINNIE",
+    "VLADIMIR": "VOLODYA VOVA",
+    "WALTER": "WALT WALLY",
+    "WILHELM": "WILLI WILLEM WIM",
     "WILLIAM": "WILL BILL BILLY LIAM WILLY",
+    "ZACHARY": "ZACH ZACK",
 }
 
 READ = "id int, kind string, line string, a string, b string, short boolean, given array<string>, country string, office string"
@@ -123,7 +242,9 @@ def read(name: str | None) -> dict | None:
         b = "".join(w for w, _ in full[1:]) if len(full) > 1 else ""
         return {"kind": "company", "line": line or "", "a": a, "b": b, "short": any(short), "given": None}
     given = [i for i, w in enumerate(rest) if _given_of(w.rstrip(".")) or len(w.rstrip(".")) == 1]
-    i = given[0] if given and len(rest) > 1 else 0
+    comma = re.match(r"\s*(?:[^\W_]+\.?\s+)*?([^\W_]+)\s*,", s)
+    # without a known given name the surname stands before a comma, else last
+    i = given[0] if given and len(rest) > 1 else len(rest) - 1 if comma and len(rest) > 1 and rest[0] == comma[1] else 0
     first = rest[i].rstrip(".")
     surname = "".join(w.rstrip(".") for j, w in enumerate(rest) if j != i) if len(rest) > 1 else first
     if len(rest) == 1:
@@ -299,9 +420,21 @@ def groups(operators: DataFrame) -> DataFrame:
     return members.join(root.select(F.col("id").alias("rep"), "root"), "rep").select("id", "root", "country")
 
 
+def classes(operators: DataFrame) -> DataFrame:
+    """(id, root, links): the class of every row that means something, and how many rows it is
+    linked with: all of its class but those of another known country. No pairs are made."""
+    found = cut(groups(operators))
+    sizes = found.groupBy("root", "country").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("root").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("country").isNotNull(), F.col("n"))).alias("told"))
+    own = sizes.where("country is not null").select("root", "country", F.col("n").alias("own"))
+    other = F.when(F.col("country").isNotNull(), F.col("told") - F.col("own")).otherwise(0)
+    return found.join(whole, "root").join(own, ["root", "country"], "left").select("id", "root", (F.col("all") - other - 1).alias("links"))
+
+
 def same_operator(operators: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of rows that mean the same operator."""
+    """(id_a, id_b), id_a < id_b: every pair of rows that mean the same operator. Salted, as a
+    class may hold a third of all rows."""
     found = cut(groups(operators))
-    a = found.select(F.col("id").alias("id_a"), "root", F.col("country").alias("country_a"))
-    b = found.select(F.col("id").alias("id_b"), "root", F.col("country").alias("country_b"))
-    return a.join(b, "root").where("id_a < id_b and not coalesce(country_a <> country_b, false)").select("id_a", "id_b")
+    a = found.select(F.col("id").alias("id_a"), "root", F.col("country").alias("country_a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    b = found.select(F.col("id").alias("id_b"), "root", F.col("country").alias("country_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return a.join(b, ["root", "salt"]).where("id_a < id_b and not coalesce(country_a <> country_b, false)").select("id_a", "id_b")

@@ -12,6 +12,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.same_operator(table(spark, folder, "operators"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return names.classes(table(spark, folder, "operators"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return destinations.bound_for(table(spark, folder, "raw_messages"), table(spark, folder, "ports"))
 
@@ -42,7 +46,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
+    for f in (p3_found, p3_classes, p7_found, p8_packed, p8_unused, p9_found, p9_reparameterised, p10_found, p10_composition)
 }
 ORACLES: dict[str, str] = {
     "p9_found": """WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
