@@ -36,24 +36,28 @@ from wakeline.workspace import scratch
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary cuts a text into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SALTS = 64
+#: Least number of salts, and documents per salt beyond it.
+SALTS, PER_SALT = 64, 200_000
 
 
-def _encoder(path: str):
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, *, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens) of every document; written once, since tokenizing is the dear part."""
+    """(doc_id, tokens) of every document; written once, since tokenizing is the dear part.
+
+    The vocabulary is read on the driver and goes along with the function (under 1 MB)."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:
-            encode = encode or _encoder(tokenizer).encode_ordinary
+            encode = encode or _encoder(vocabulary).encode_ordinary
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
@@ -146,7 +150,8 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
     each = counts.withColumn("k", F.explode(options)).select("doc_id", "tokens", "k.container_kind", "k.capacity")
     each = each.withColumns({"whole": F.expr("tokens div capacity"), "rest": F.expr("tokens % capacity")})
     # whole containers are numbered like a size of their own, by their first
-    spread = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salts = max(SALTS, counts.count() // PER_SALT)
+    spread = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     tally = spread.groupBy("container_kind", "rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("w"))
     before = Window.partitionBy("container_kind", "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     tally = tally.withColumns({"rank0": F.coalesce(F.sum("n").over(before), F.lit(0)), "whole_in_rest": F.coalesce(F.sum("w").over(before), F.lit(0))})
@@ -166,7 +171,7 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
             at += wholes[k][rest]
         places[k] = _places(plan(sizes[k], capacity), at)
     caps_by = dict(kinds)
-    # stable ranks within (kind, size, salt); at most 1/SALTS of a size in one window
+    # stable ranks within (kind, size, salt); at most about PER_SALT rows in one window
     w = Window.partitionBy("container_kind", "rest", "salt").orderBy("doc_id", "tokens")
     # a merge join: the window below wants the same order, and the tally need not be broadcast
     ranked = spread.join(tally.hint("merge"), ["container_kind", "rest", "salt"]).select(
