@@ -34,7 +34,7 @@ def test_port_calls(spark, fixes):
         assert set(out) == {1001, 1002}
         assert out[1001].departed_at is None and out[1001].positions == 9 and out[1001].port_id == 2
         assert out[1002].departed_at is not None and out[1002].min_sog == pytest.approx(0.4)
-    new = visits.port_calls(p, q, as_of=AS_OF)
+    new = visits.port_calls(p, q, as_of=AS_OF, lookback=None)
     assert got(visits.reconcile_calls(new, new)) == got(new.select("mmsi", "port_id", "arrived_at", "departed_at", "min_sog", "positions"))
     assert got(visits.port_calls(p.limit(0), q, as_of=AS_OF)) == []
     assert got(visits.port_calls(p, q.limit(0), as_of=AS_OF)) == []
@@ -51,7 +51,7 @@ def test_encounters(spark, fixes):
     rows = [(5001, m, 10.0, 10.0, 1.0) for m in range(40, -1, -5)] + [(5002, m, 10.001, 10.0, 0.8) for m in range(40, 4, -5)] + [(5002, 0, 10.5, 10.0, 9.0)]
     rows += [(6001, m, 20.0, 20.0, 0.5) for m in range(40, -1, -5)] + [(6002, m, 20.001, 20.0, 0.5) for m in range(40, -1, -5)]
     rows += [(7001, m, 30.0, 30.0, 1.0) for m in (10, 5, 0)] + [(7002, m, 30.001, 30.0, 1.0) for m in (10, 5, 0)] + [(8001, 3, 30.0, 30.0, None)]
-    (e,) = visits.sts_events(fixes(rows), ports(spark, [(1, 20, 20)]), as_of=AS_OF).collect()
+    (e,) = visits.sts_events(fixes(rows), ports(spark, [(1, 20, 20)]), as_of=AS_OF, lookback=None).collect()
     assert (e.mmsi_a, e.mmsi_b) == (5001, 5002) and e.ended_at is not None and 90 < e.min_distance < 200
 
 

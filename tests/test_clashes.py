@@ -26,9 +26,9 @@ def test_positions(spark, fixes, square):
     same(lambda x: stops.stops_and_trips(x)[0], p)
     same(proximity.near_pairs, p)
     same(containment.positions_in_regions, p, fences)
-    same(lambda a, b: visits.port_calls(a, b, as_of=AS_OF), p, q)
-    same(lambda a, b: visits.geofence_crossings(a, b, as_of=AS_OF), p, fences)
-    same(lambda a, b: visits.sts_events(a, b, as_of=AS_OF), p, q.limit(0))
+    same(lambda a, b: visits.port_calls(a, b, as_of=AS_OF, lookback=None), p, q)
+    same(lambda a, b: visits.geofence_crossings(a, b, as_of=AS_OF, lookback=None), p, fences)
+    same(lambda a, b: visits.sts_events(a, b, as_of=AS_OF, lookback=None), p, q.limit(0))
     same(lambda a: visits.position_gaps(a, as_of=AS_OF), p)
     same(ingest.last_positions, p)
     same(lambda a: profile.voyage_hourly(a), p)

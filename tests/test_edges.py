@@ -148,14 +148,26 @@ def test_duplicates_of_earlier_batches(spark, tmp_path):
     for k, rows in enumerate(batches):
         _lines(src, f"{k}.json", rows)
         stream.start_ingest(stream.read_messages(spark, str(src)), str(out), str(tmp_path / "cp")).awaitTermination()
-    want = [(1, False), (2, False), (3, True), (4, True), (5, False)]
+    want = [(1, False), (2, False), (3, True), (4, False), (5, False)]  # 3 does not prolong what 1 opened
     flags = lambda: got(spark.read.parquet(str(out / "raw")).select("id", "is_duplicate"))
-    assert flags() == want and spark.read.parquet(str(out / "positions")).count() == 3
-    for k in (0, 2):  # an epoch again doesn't see its own receipts or later ones
+    assert flags() == want and spark.read.parquet(str(out / "positions")).count() == 4
+    for k in (3,):  # the last epoch again doesn't see its own receipts or later ones
         stream.write_epoch(str(out), str(out / "last"))(stream.decoded(spark.read.schema(stream.RAW).json(str(src / f"{k}.json"))), k)
     assert flags() == want
 
 
+def test_a_lost_version_is_an_error(spark, tmp_path):
+    write = stream.write_epoch(str(tmp_path), str(tmp_path / "last"))
+    batch = spark.createDataFrame([_row(1, 1, 10.0)]).selectExpr("id", "source", "cast(received_at as timestamp) received_at", "payload")
+    decoded = stream.decoded(batch.selectExpr("*", "null message_type", "null mmsi", "null reported_at", "null is_duplicate"))
+    with pytest.raises(RuntimeError):
+        write(decoded, 5)
+    write(decoded, 0)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "vessels/v=0")).select("mmsi", "name", "is_new").collect()] == [(7, "A", True)]
+    assert stream.expire(spark, str(tmp_path / "raw"), "date", as_of="2024-07-01", keep_days=10) == ["date=2024-06-01"]
+    assert stream.only(decoded, mmsis=[8]).count() == 0 and stream.only(decoded, mmsis=[7], types=[1]).count() == 1
+
+
 def test_streaming_rollup_and_dedup(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -50,9 +50,9 @@ def test_unreadable_polygons_cover_nothing():
         assert containment.cover_polygon(text) == []
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [64_000_000, -1])
 def test_points_in_regions(spark, square, monkeypatch, limit):
-    monkeypatch.setattr(containment, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(containment, "BROADCAST_BYTES", limit)
     regions = spark.createDataFrame([(1, square(0, 0, 1, 1), True), (2, square(0.5, 0.5, 2, 2), True), (3, square(0, 0, 9, 9), False), (4, "broken", True), (5, None, True)], "id int, polygon string, active boolean")
     rng = random.Random(1)
     pts = [(i, rng.uniform(-1, 3), rng.uniform(-1, 3)) for i in range(400)] + [(400, None, 0.5), (401, 0.5, None), (402, 0.5, 91.0), (403, 0.7, 0.7), (403, 0.7, 0.7)]
@@ -63,6 +63,26 @@ def test_points_in_regions(spark, square, monkeypatch, limit):
     assert got(containment.positions_in_regions(points, regions.limit(0))) == []
 
 
+def test_many_edges_are_split_and_multipolygons_are_read():
+    wheel = [(math.cos(k / 3000 * 2 * math.pi), math.sin(k / 3000 * 2 * math.pi)) for k in range(3000)]
+    wheel.append(wheel[0])
+    cover = containment.cover_polygon(json.dumps({"type": "Polygon", "coordinates": [wheel]}))
+    assert max(len(e) for *_, e in cover) <= containment.MOST_EDGES
+    rng = random.Random(7)
+    for _ in range(200):
+        x, y = rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)
+        assert in_cover(cover, x, y) == brute([wheel], x, y)
+    ring = lambda x: [[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]
+    many = containment.cover_polygon(json.dumps({"type": "MultiPolygon", "coordinates": [[ring(0)], [ring(5)]]}))
+    assert [in_cover(many, x, 0.5) for x in (0.5, 3.0, 5.5)] == [True, False, True]
+
+
+def test_boundaries_belong_to_a_region_on_request(spark, square):
+    regions = containment.cut(containment.coverage(spark.createDataFrame([(1, square(0, 0, 1, 1))], "id int, polygon string")))
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.5), (3, 0.5, 1.0), (4, 0.5, 0.5), (5, 1.0, 1.0), (6, 1.0001, 0.5)], "position_id long, lon double, lat double")
+    assert {i for i, _ in got(containment.containing(points, regions, "position_id", on_edge=True))} == {1, 2, 3, 4, 5}
+
+
 def hav(a, b):
     p, q = math.radians(a[1]), math.radians(b[1])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2

@@ -7,7 +7,8 @@ by an equi-join on cell keys: an interior cell accepts it at once, a boundary ce
 counts edge crossings exactly.
 
 Defined results: a point is in a polygon when a ray from it crosses the rings an odd
-number of times (holes are outside, ring direction is irrelevant); polygons that cannot
+number of times (holes are outside, ring direction is irrelevant); with ``on_edge`` also
+when it lies on a ring; a MultiPolygon is all of its polygons; polygons that cannot
 be read, and points with a null or impossible coordinate, match nothing; repeated
 points each match; an empty side gives an empty result.
 """
@@ -27,8 +28,10 @@ from wakeline.workspace import cut
 
 LEVELS = (2, 4, 6, 8, 10, 12, 14, 16, 18, 20)
 COVER = "region_id long, level int, cell long, interior boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
-#: A coverage of at most so many rows is broadcast (about 200 bytes each).
-BROADCAST_ROWS = 100_000
+#: A coverage of at most so many bytes is broadcast, at about 100 a cell and 40 an edge.
+BROADCAST_BYTES = 64_000_000
+#: Cells with more edges are split further.
+MOST_EDGES = 64
 SALTS = 16
 
 
@@ -64,11 +67,14 @@ def _holds(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def cover_polygon(geojson: str | None, split: int = 8) -> list[tuple[int, int, bool, np.ndarray]]:
     """(level, cell, interior, edges) rows of one polygon; none if it cannot be read.
 
-    Cells that an edge meets are split until they are at most 1/``split`` of the polygon."""
+    Cells that an edge meets are split until they are at most 1/``split`` of the polygon and
+    carry at most ``MOST_EDGES`` edges, or are the smallest there are."""
     try:
-        rings = [np.asarray(r, float)[:, :2] for r in json.loads(geojson)["coordinates"]]
+        shape = json.loads(geojson)
+        parts = shape["coordinates"] if shape.get("type") == "MultiPolygon" else [shape["coordinates"]]
+        rings = [np.asarray(r, float)[:, :2] for part in parts for r in part]
         edges = np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings])
-    except (TypeError, ValueError, KeyError, IndexError):
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError):
         return []
     if not len(edges) or not np.isfinite(edges).all():
         return []
@@ -80,7 +86,7 @@ def cover_polygon(geojson: str | None, split: int = 8) -> list[tuple[int, int, b
     ix, iy = (m.ravel() for m in np.meshgrid(np.arange((x0 + 180) // size, (x1 + 180) // size + 1), np.arange((y0 + 90) // size, (y1 + 90) // size + 1)))
     ix, iy = ix.astype(np.int64), iy.astype(np.int64)
     rows = []
-    for i in range(first, last + 1):
+    for i in range(first, len(LEVELS)):
         level, size = LEVELS[i], 360 / 2 ** LEVELS[i]
         pad = size * 1e-9
         kept = []
@@ -98,8 +104,13 @@ def cover_polygon(geojson: str | None, split: int = 8) -> list[tuple[int, int, b
             for k in np.flatnonzero(some):
                 # what a ray to the right from within the cell can cross
                 matter = (ys[:, 1] >= low_y[k] - pad) & (ys[:, 0] <= low_y[k] + size + pad) & (right >= low_x[k] - pad)
+                if matter.sum() > MOST_EDGES and i + 1 < len(LEVELS):
+                    kept.append((cx[k : k + 1], cy[k : k + 1]))
+                    continue
                 rows.append((level, (level << 56) | (int(cx[k]) << 28) | int(cy[k]), False, edges[matter]))
-        if i < last:
+        if not kept:
+            break
+        if i + 1 < len(LEVELS):
             n = 2 ** (LEVELS[i + 1] - level)
             cx, cy = (np.concatenate(c) for c in zip(*kept))
             steps = np.arange(n)
@@ -129,13 +140,13 @@ def coverage(regions: DataFrame, region_id: str = "id", polygon: str = "polygon"
     )
 
 
-def containing(points: DataFrame, cover: DataFrame, key: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+def containing(points: DataFrame, cover: DataFrame, key: str, lon: str = "lon", lat: str = "lat", *, on_edge: bool = False) -> DataFrame:
     """(``key``, region_id) for every point and region that contains it.
 
-    ``cover`` must be materialised (``cut``). Up to ``BROADCAST_ROWS`` cells it is
+    ``cover`` must be materialised (``cut``). Up to ``BROADCAST_BYTES`` it is
     broadcast, and points never move; beyond that both sides are shuffled by cell with
     a salt, so that a harbour with a third of all points is spread over tasks."""
-    rows, levels = cover.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("level"))).first()
+    size, levels = cover.agg(F.coalesce(F.sum(100 + 40 * F.size("edges")), F.lit(0)), F.sort_array(F.collect_set("level"))).first()
     valid = points.select(F.col(key), F.col(lon).alias("lon"), F.col(lat).alias("lat")).where(
         "abs(lat) <= 90 and abs(lon) <= 180"
     )
@@ -143,14 +154,14 @@ def containing(points: DataFrame, cover: DataFrame, key: str, lon: str = "lon",
     keyed = valid.select(
         "*", F.explode(F.array(*[cell_key(F.col("lon"), F.col("lat"), F.lit(v)) for v in levels])).alias("cell")
     )
-    if rows <= BROADCAST_ROWS:
+    if size <= BROADCAST_BYTES:
         met = keyed.join(F.broadcast(cover), "cell")
     else:
         salted = keyed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS).cast("long")))
         met = salted.join(
             cover.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["cell", "salt"]
         )
-    return met.where(F.when(F.col("interior"), True).otherwise(geo.inside(F.col("lon"), F.col("lat"), F.col("edges")))).select(
+    return met.where(F.when(F.col("interior"), True).otherwise(geo.inside(F.col("lon"), F.col("lat"), F.col("edges"), on_edge))).select(
         key, "region_id"
     )
 

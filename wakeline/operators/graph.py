@@ -1,7 +1,7 @@
 """Ownership trees and connected components.
 
-Trees are walked level by level with one equi-join each, at most ``max_depth`` times;
-the plan stays lazy. Defined results: unknown and null parents end a chain; a row with
+Trees are walked level by level with one equi-join each, at most ``max_depth`` times and
+no further than they reach; levels are cut, so the plan grows with the depth, not its square. Defined results: unknown and null parents end a chain; a row with
 two roles counts twice where roles are joined; empty in, empty out.
 """
 
@@ -20,7 +20,9 @@ def descendants(operators: DataFrame, roots: DataFrame | None = None, *, max_dep
     edges = operators.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id is not null")
     out = level
     for depth in range(1, max_depth + 1):
-        level = level.join(edges, "id").select("root_id", F.col("child").alias("id"), F.lit(depth).alias("depth"))
+        level = cut(level.join(edges, "id").select("root_id", F.col("child").alias("id"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
@@ -39,7 +41,9 @@ def ancestor_chain(operators: DataFrame, starts: DataFrame | None = None, *, max
     owner = operators.select("id", F.col("parent_id").alias("parent")).where("parent_id is not null")
     out = level
     for up in range(1, max_depth + 1):
-        level = level.join(owner, "id").select("start_id", F.col("parent").alias("id"), F.lit(up).alias("up"))
+        level = cut(level.join(owner, "id").select("start_id", F.col("parent").alias("id"), F.lit(up).alias("up")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     known = out.join(operators.select("id", "canonical"), "id")
     top = known.groupBy("start_id").agg(F.max("up").alias("top"))

@@ -7,11 +7,15 @@ handled as each function states; empty in, empty out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import envelope as E
-from wakeline.operators.timeline import interval, latest
+from wakeline.operators.timeline import latest
+from wakeline.workspace import cut
 
 #: Message types that carry a position.
 POSITION_TYPES = (1, 2, 3, 18, 19, 27)
@@ -56,28 +60,51 @@ def fingerprint(df: DataFrame) -> Column:
     return F.sha2(F.format_string("%d|%d|%d|%.6f|%.6f", F.col("mmsi"), F.col("message_type").cast("long"), nanos, *place), 256)
 
 
-def dedup_messages(messages: DataFrame, seen: DataFrame | None = None, *, order: str = "id", window: str = "5m") -> DataFrame:
-    """Adds is_duplicate: the same fingerprint was received at most ``window`` before.
-    ``seen`` (fingerprint, first_seen) are earlier receipts; equal times go by ``order``.
+def duplicate_flags(messages: DataFrame, seen: DataFrame | None = None, *, order: str = "id", window: str = "5m") -> DataFrame:
+    """(order, is_duplicate): a receipt opens a window unless it lies in an open one of the same
+    fingerprint; those in it repeat the first. Later receipts don't prolong it. ``seen``
+    (fingerprint, first_seen) are windows opened earlier; equal times go by ``order``.
 
-    Time is cut into slots of the window's length. A receipt repeats one of its own slot if
-    it isn't the slot's first, and one of the slot before if that slot's last is near
-    enough. So only two values per fingerprint and slot are shuffled, combined beforehand,
-    however often one message was delivered."""
+    Receipts with pauses of at most the window make a chain, found from the first and last of
+    each slot of the window's length, so that only two values per fingerprint and slot
+    are shuffled, however often one message was delivered. A chain within one window has
+    one first receipt. Longer ones are read in order, keeping the last opening only."""
     span = int(window[:-1]) * {"s": 1, "m": 60, "h": 3600}[window[-1]] * 1_000_000
-    at = F.unix_micros("received_at").alias("at")
-    rows = messages.withColumn("_print", fingerprint(messages)).withColumn("_slot", F.expr(f"unix_micros(received_at) div {span}"))
-    mine = rows.select(F.col("_print").alias("fingerprint"), F.col("_slot").alias("slot"), F.struct(at, F.col(order).cast("long").alias("by")).alias("r"))
-    if seen is not None:
-        past = seen.select("fingerprint", F.expr(f"unix_micros(first_seen) div {span}").alias("slot"), F.struct(F.unix_micros("first_seen").alias("at"), F.lit(-1).cast("long").alias("by")).alias("r"))
-        mine = mine.unionByName(past)
-    ends = mine.groupBy("fingerprint", "slot").agg(F.min("r").alias("lo"), F.max("r.at").alias("hi"))
-    none = F.lit(None)
-    near = ends.select("fingerprint", "slot", "lo", none.cast("long").alias("hi")).unionByName(ends.select("fingerprint", (F.col("slot") + 1).alias("slot"), F.lit(None).cast(ends.schema["lo"].dataType).alias("lo"), "hi"))
-    near = near.groupBy(F.col("fingerprint").alias("_print"), F.col("slot").alias("_slot")).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
-    me = F.struct(at, F.col(order).cast("long").alias("by"))
-    dup = F.coalesce(F.col("_lo") < me, F.lit(False)) | F.coalesce(F.unix_micros("received_at") - F.col("_hi") <= span, F.lit(False))
-    return rows.join(near, ["_print", "_slot"], "left").withColumn("is_duplicate", dup).drop("_print", "_slot", "_lo", "_hi")
+    slot = F.expr(f"(at - pmod(at, {span}L)) div {span}L").alias("slot")
+    keys = messages.where("received_at is not null").select(F.col(order).cast("long").alias("by"), F.unix_micros("received_at").alias("at"), fingerprint(messages).alias("fingerprint"))
+    keys = cut(keys)  # messages are decoded once
+    all_ = keys if seen is None else keys.unionByName(seen.select(F.lit(None).cast("long").alias("by"), F.unix_micros("first_seen").alias("at"), "fingerprint"))
+    ends = all_.groupBy("fingerprint", slot).agg(F.min(F.struct("at", F.coalesce("by", F.lit(-(2**63))).alias("by"))).alias("lo"), F.max("at").alias("hi"))
+    over = Window.partitionBy("fingerprint").orderBy("slot")  # one row per slot
+    fresh = F.when(F.col("lo.at") - F.lag("hi").over(over) <= span, 0).otherwise(1)
+    chained = ends.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(over))
+    whole = Window.partitionBy("fingerprint", "chain")
+    chained = chained.select("fingerprint", "slot", "chain", F.min("lo").over(whole).alias("first"), F.max("hi").over(whole).alias("last"))
+    rows = all_.withColumn("slot", slot).join(chained, ["fingerprint", "slot"])
+    short = F.col("last") - F.col("first.at") <= span
+    plainly = rows.where(short & F.col("by").isNotNull()).select("by", (F.struct("at", "by") != F.struct("first.at", "first.by")).alias("is_duplicate"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, opened = None, 0
+        for batch in batches:
+            flags = []
+            for f, c, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (f, c) != key or at > opened + span:
+                    key, opened = (f, c), at
+                    flags.append(False)
+                else:
+                    flags.append(True)
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(flags, pa.bool_())], names=["by", "is_duplicate"])
+
+    long = rows.where(~short).select("fingerprint", "chain", "at", "by").repartition("fingerprint", "chain").sortWithinPartitions("fingerprint", "chain", "at", F.asc_nulls_first("by"))
+    return plainly.unionByName(long.mapInArrow(read, "by long, is_duplicate boolean").where("by is not null")).withColumnRenamed("by", order)
+
+
+def dedup_messages(messages: DataFrame, seen: DataFrame | None = None, *, order: str = "id", window: str = "5m") -> DataFrame:
+    """Adds is_duplicate to messages with unique ``order`` (``duplicate_flags``); receipts without a time are none."""
+    flags = duplicate_flags(messages, seen, order=order, window=window).select(F.col(order).alias("_order"), "is_duplicate")
+    rows = messages.drop("is_duplicate")
+    return rows.join(flags, rows[order] == flags["_order"], "left").drop("_order").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
 
 
 def to_positions(messages: DataFrame) -> DataFrame:
@@ -108,11 +135,16 @@ def last_positions(positions: DataFrame, cache: DataFrame | None = None, *, tie:
     return latest(rows, ["mmsi"], ["reported_at", "_tie"]).drop("_tie")
 
 
-def rebuild_last_positions(messages: DataFrame, raw: DataFrame) -> DataFrame:
-    """The newest position of each vessel from the archive, duplicates left out; motion is unknown."""
-    rows = decode_messages(raw.where("not is_duplicate"), keep=["id", "received_at"]).where("has_position")
-    newest = latest(rows.select("mmsi", F.coalesce("reported_at", "received_at").alias("reported_at"), "received_at", "lon", "lat", "id"), ["mmsi"], ["reported_at", "id"])
-    return newest.drop("id")
+def rebuild_last_positions(raw: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """The newest position of each vessel from the archive, by the place in the envelope's
+    MetaData, else in its body; motion is unknown. A cache that holds any row is left as it is."""
+    if cache is not None and not cache.isEmpty():
+        return cache
+    env = F.from_json(E.plain_numbers(F.col("payload")), "MessageType string, MetaData struct<latitude:double,longitude:double>, Message map<string,variant>").alias("e")
+    read = raw.where(F.col("message_type").isin(*POSITION_TYPES)).select("mmsi", F.coalesce("reported_at", "received_at").alias("reported_at"), "received_at", "id", env)
+    body = F.col("e.Message")[F.col("e.MessageType")]
+    rows = read.select("mmsi", "reported_at", "received_at", "id", F.coalesce("e.MetaData.longitude", _field(body, "Longitude", "double")).alias("lon"), F.coalesce("e.MetaData.latitude", _field(body, "Latitude", "double")).alias("lat"))
+    return latest(rows.where("lon is not null and lat is not null"), ["mmsi"], ["reported_at", "id"]).drop("id")
 
 
 def rate_counters(messages: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import envelope as E
-from wakeline.workspace import scratch
+from wakeline.workspace import cut, scratch
 
 KEY = ["key_hi", "key_lo"]
 
@@ -80,18 +80,31 @@ class MessageStore:
         self._write(won, self.name, ["run"])
         return self
 
-    def compact(self) -> DataFrame:
+    def winners(self) -> DataFrame:
         """One row per identifier with its lowest id. The runs are bucketed by the
         identifier, so the merge reads them in place without a shuffle."""
-        runs = self.spark.table(self.name)
-        won = runs.groupBy(*KEY).agg(F.min("id").alias("id"))
-        self._write(won, self.merged, [])
+        return self.spark.table(self.name).groupBy(*KEY).agg(F.min("id").alias("id"))
+
+    def compact(self) -> DataFrame:
+        """The winners, kept as a table of their own."""
+        self._write(self.winners(), self.merged, [])
         return self.spark.table(self.merged)
 
+    def drop(self) -> None:
+        """Takes the tables out of the catalog and their files out of the shared folder."""
+        for name in (self.name, self.merged):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def first_deliveries(messages: DataFrame) -> DataFrame:
-    """(id) of the row that each message keeps: the lowest of its copies."""
-    return MessageStore(messages.sparkSession).upsert(identified(messages)).compact().select("id")
+    """(id) of the row that each message keeps: the lowest of its copies. The store is
+    removed once its winners are written."""
+    store = MessageStore(messages.sparkSession).upsert(identified(messages))
+    won = cut(store.winners().select("id"))
+    store.drop()
+    return won
 
 
 def deduplicated(messages: DataFrame) -> DataFrame:

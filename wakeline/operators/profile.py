@@ -39,13 +39,13 @@ def trajectory_embeddings(positions: DataFrame, *, as_of: str, lookback: str | N
 
 
 def anomaly_scores(embeddings: DataFrame, *, as_of: str, method: str = "gridcell_v1") -> DataFrame:
-    """(mmsi, computed_at, score, method, mean_distance_to_history, history_windows): how far
+    """(mmsi, computed_at, score, method, mean_distance_to_history, history_windows, reasons): how far
     the latest vector of a mover lies from its earlier ones, at most 1."""
     rows = embeddings.where(F.col("method") == method).select("mmsi", "window_start", "embedding")
     now = latest(rows, ["mmsi"], ["window_start"]).select("mmsi", F.col("window_start").alias("now_at"), F.col("embedding").alias("now"))
     past = rows.join(now, "mmsi").where("window_start < now_at")
     mean = past.groupBy("mmsi").agg(F.avg(V.cosine_distance(F.col("embedding"), F.col("now"))).alias("d"), F.count(F.lit(1)).alias("history_windows"))
-    return mean.select("mmsi", F.lit(as_of).cast("timestamp").alias("computed_at"), F.least("d", F.lit(1.0)).cast("float").alias("score"), F.lit("selfhist_v1").alias("method"), F.round(F.col("d").cast("decimal(20,10)"), 4).cast("double").alias("mean_distance_to_history"), "history_windows")
+    return mean.select("mmsi", F.lit(as_of).cast("timestamp").alias("computed_at"), F.least("d", F.lit(1.0)).cast("float").alias("score"), F.lit("selfhist_v1").alias("method"), F.round(F.col("d").cast("decimal(20,10)"), 4).cast("double").alias("mean_distance_to_history"), "history_windows").withColumn("reasons", F.to_json(F.struct("mean_distance_to_history", "history_windows")))
 
 
 def similar_vessels(embeddings: DataFrame, vessels: DataFrame, mmsi: int, *, method: str = "gridcell_v1", limit: int = 10) -> DataFrame:
@@ -63,10 +63,9 @@ def nearest(queries: DataFrame, base: DataFrame, *, key: str, vector: str, k: in
     executor, which keeps the k best per query, so a task holds two blocks however many
     vectors there are."""
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
+    def blocks(df: DataFrame, name: str, n: int) -> DataFrame:
         part = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)))
-        return part.groupBy("b").agg(F.collect_list("k").alias(f"{name}_k"), F.collect_list("v").alias(f"{name}_v")).drop("b")
+        return part.groupBy("b").agg(F.collect_list("k").alias(f"{name}_k"), F.collect_list("v").alias(f"{name}_v"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,8 +78,10 @@ def nearest(queries: DataFrame, base: DataFrame, *, key: str, vector: str, k: in
                     order = order[xk[order] != qk][:k]
                     yield pd.DataFrame({"query": qk, "key": xk[order], "similarity": s[i][order]})
 
-    pairs = blocks(queries, "q").join(blocks(base, "x"))
-    found = pairs.repartition(max(8, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInPandas(best, "query long, key long, similarity double")
+    count = lambda df: max(1, -(-df.count() // block))
+    mine, others = count(queries), count(base)
+    asked = blocks(queries, "q", mine).drop("b").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    found = asked.join(blocks(base, "x", others), "b").drop("b").mapInPandas(best, "query long, key long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

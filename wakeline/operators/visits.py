@@ -14,16 +14,17 @@ from wakeline.workspace import cut
 
 def in_ports(positions: DataFrame, ports: DataFrame, key: str = "position_id") -> DataFrame:
     """(key, port_id): the containing port whose centre is nearest, ties to the lower id.
+    A port's boundary belongs to it.
 
     Only fixes in some port give a row."""
-    met = containing(positions, cut(coverage(ports)), key)
+    met = containing(positions, cut(coverage(ports)), key, on_edge=True)
     centres = ports.select(F.col("id").cast("long").alias("region_id"), F.col("lon").alias("port_lon"), F.col("lat").alias("port_lat"))
     near = met.join(centres, "region_id").join(positions.select(key, "lon", "lat"), key)
     away = F.struct(local_m(F.col("lon"), F.col("lat"), F.col("port_lon"), F.col("port_lat")), "region_id")
     return near.groupBy(key).agg(F.min_by("region_id", away).cast("int").alias("port_id"))
 
 
-def port_calls(positions: DataFrame, ports: DataFrame, open_calls: DataFrame | None = None, *, as_of: str, lookback: str | None = None, min_duration: str = "15m") -> DataFrame:
+def port_calls(positions: DataFrame, ports: DataFrame, open_calls: DataFrame | None = None, *, as_of: str, lookback: str | None = "6h", min_duration: str = "15m") -> DataFrame:
     """(mmsi, port_id, arrived_at, departed_at, min_sog, positions) of visits to ports.
 
     A visit is a run of a vessel's fixes in one port that lasts at least ``min_duration``;
@@ -55,14 +56,14 @@ def reconcile_calls(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by("departed_at", "_new").alias("departed_at"), F.min("min_sog").alias("min_sog"), F.max_by("positions", "_new").alias("positions"))
 
 
-def geofence_crossings(positions: DataFrame, geofences: DataFrame, *, as_of: str, lookback: str | None = None) -> DataFrame:
+def geofence_crossings(positions: DataFrame, geofences: DataFrame, *, as_of: str, lookback: str | None = "10m") -> DataFrame:
     """(geofence_id, mmsi, event_type, occurred_at, lon, lat) of entries and exits.
 
     A crossing happens at the fix whose containment differs from the fix before; the first
     fix of a vessel gives none. The fences that hold a fix are compared as sets, so fixes
     far from every fence cost one row, not one per fence."""
     rows = since(positions, "reported_at", as_of, lookback).where(F.col("reported_at") <= F.lit(as_of).cast("timestamp")).where("lon is not null and lat is not null")
-    inside = containing(rows, cut(coverage(geofences.where("active"))), "position_id").groupBy("position_id").agg(F.collect_set("region_id").alias("fences"))
+    inside = containing(rows, cut(coverage(geofences.where("active"))), "position_id", on_edge=True).groupBy("position_id").agg(F.collect_set("region_id").alias("fences"))
     none = F.array().cast("array<long>")
     held = rows.select("position_id", "mmsi", "reported_at", "lon", "lat").join(inside, "position_id", "left").withColumn("fences", F.coalesce("fences", none))
     step = with_previous(held, "mmsi", "reported_at", "position_id", {"were": "fences"}).where("_before is not null")
@@ -74,7 +75,7 @@ def geofence_crossings(positions: DataFrame, geofences: DataFrame, *, as_of: str
     return each.select(F.col("geofence_id").cast("int").alias("geofence_id"), "mmsi", F.col("c.event_type").alias("event_type"), F.col("reported_at").alias("occurred_at"), "lon", "lat").distinct()
 
 
-def sts_events(positions: DataFrame, ports: DataFrame, *, as_of: str, lookback: str | None = None, max_distance_m: float = 500.0, max_speed_kn: float = 3.0, min_duration: str = "30m", tolerance_s: int = 300) -> DataFrame:
+def sts_events(positions: DataFrame, ports: DataFrame, *, as_of: str, lookback: str | None = "1h", max_distance_m: float = 500.0, max_speed_kn: float = 3.0, min_duration: str = "30m", tolerance_s: int = 300) -> DataFrame:
     """(mmsi_a, mmsi_b, started_at, ended_at, min_distance, centroid_lon, centroid_lat).
 
     Two slow vessels outside ports with fixes within the distance and time of each other
@@ -83,7 +84,7 @@ def sts_events(positions: DataFrame, ports: DataFrame, *, as_of: str, lookback:
     speeds are no slow fixes; the middle is the mean of the pairs' middles."""
     scope = since(positions, "reported_at", as_of, lookback).where(F.col("reported_at") <= F.lit(as_of).cast("timestamp"))
     slow = scope.where(F.col("sog") < max_speed_kn)
-    away = slow.join(containing(slow, cut(coverage(ports)), "position_id").select("position_id").distinct(), "position_id", "left_anti")
+    away = slow.join(containing(slow, cut(coverage(ports)), "position_id", on_edge=True).select("position_id").distinct(), "position_id", "left_anti")
     met = meetings(away, distance_m=max_distance_m, window_s=tolerance_s, metres=local_m)
     pairs = met.groupBy("key_a", "key_b").agg(
         F.min("us_a").alias("from_us"), F.max("us_a").alias("to_us"), F.min("metres").alias("min_distance"),

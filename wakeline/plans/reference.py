@@ -83,10 +83,12 @@ def n21_decode_messages(t):
     return _messages(t).select("id", "message_type", "mmsi", "name", "reported_at", "has_position", "lat", "lon", "sog", "cog", "heading")
 
 
-@query(f"""WITH {DECODED}, f AS (SELECT id, epoch_us(received_at) AS ra, mmsi, message_type, coalesce(us, 0) AS u, CASE WHEN has_position THEN lon0 ELSE 0 END AS x, CASE WHEN has_position THEN lat0 ELSE 0 END AS y FROM messages)
-SELECT id, coalesce(ra - lag(ra) OVER (PARTITION BY mmsi, message_type, u, round(x, 6), round(y, 6) ORDER BY ra, id) <= 300000000, false) AS is_duplicate FROM f""")
+@query(f"""WITH RECURSIVE {DECODED}, f AS (SELECT id, epoch_us(received_at) AS ra, hash(mmsi, message_type, coalesce(us, 0), round(CASE WHEN has_position THEN lon0 ELSE 0 END, 6), round(CASE WHEN has_position THEN lat0 ELSE 0 END, 6)) AS k FROM messages),
+opened(k, ra) AS (SELECT k, min(ra) FROM f GROUP BY k UNION ALL SELECT o.k, min(f.ra) FROM opened o JOIN f ON f.k = o.k AND f.ra > o.ra + 300000000 GROUP BY o.k, o.ra),
+first AS (SELECT min(id) AS id FROM f JOIN opened USING (k, ra) GROUP BY k, ra)
+SELECT id, id NOT IN (SELECT id FROM first) AS is_duplicate FROM f""")
 def n19_dedup_messages(t):
-    return ingest.dedup_messages(_messages(t)).select("id", "is_duplicate")
+    return ingest.duplicate_flags(_messages(t))
 
 
 @query("SELECT source, epoch_us(date_trunc('minute', received_at)) AS window_start, count(*) AS count FROM raw_messages GROUP BY ALL")
@@ -100,11 +102,11 @@ def n18_last_positions(t):
     return ingest.last_positions(t("positions"))
 
 
-@query(f"""WITH {DECODED} SELECT mmsi, coalesce(us, epoch_us(received_at)) AS reported_at, epoch_us(received_at) AS received_at, lon0 AS lon, lat0 AS lat
-FROM messages WHERE has_position AND id IN (SELECT id FROM raw_messages WHERE NOT is_duplicate)
-QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY coalesce(us, epoch_us(received_at)) DESC, id DESC) = 1""")
+@query(f"""SELECT mmsi, epoch_us(coalesce(reported_at, received_at)) AS reported_at, epoch_us(received_at) AS received_at, coalesce(try_cast(json_extract_string(payload, '$.MetaData.longitude') AS DOUBLE), try_cast(json_extract_string({BODY}, '$.Longitude') AS DOUBLE)) AS lon, coalesce(try_cast(json_extract_string(payload, '$.MetaData.latitude') AS DOUBLE), try_cast(json_extract_string({BODY}, '$.Latitude') AS DOUBLE)) AS lat
+FROM raw_messages WHERE message_type IN (1, 2, 3, 18, 19, 27) AND lon IS NOT NULL AND lat IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY coalesce(reported_at, received_at) DESC, id DESC) = 1""")
 def n18_rebuild_last_positions(t):
-    return ingest.rebuild_last_positions(_messages(t), t("raw_messages"))
+    return ingest.rebuild_last_positions(t("raw_messages"))
 
 
 @query(f"""WITH {DECODED}, b AS (SELECT mmsi, max_by(name, id) FILTER (name <> '') AS n, min(epoch_us(received_at)) AS f, max(epoch_us(received_at)) AS l FROM messages GROUP BY mmsi),
@@ -146,7 +148,7 @@ port_calls AS (SELECT c.mmsi, c.port_id, epoch_us(a) AS arrived_at, CASE WHEN m
 
 
 def _calls(t) -> DataFrame:
-    return visits.port_calls(t("positions"), t("ports"), as_of=AS_OF)
+    return visits.port_calls(t("positions"), t("ports"), as_of=AS_OF, lookback=None)
 
 
 @query(f"WITH {_TAGGED} SELECT * FROM port_calls")
@@ -160,7 +162,7 @@ g AS (SELECT s.position_id, s.mmsi, s.reported_at, s.lon, s.lat, v.id, h.id IS N
 l AS (SELECT *, lag(i) OVER (PARTITION BY id, mmsi ORDER BY reported_at, position_id) AS w FROM g)
 SELECT DISTINCT id AS geofence_id, mmsi, CASE WHEN i THEN 'enter' ELSE 'exit' END AS event_type, epoch_us(reported_at) AS occurred_at, lon, lat FROM l WHERE w IS NOT NULL AND w <> i""")
 def n2_geofence_crossings(t):
-    return visits.geofence_crossings(t("positions"), t("geofences"), as_of=AS_OF)
+    return visits.geofence_crossings(t("positions"), t("geofences"), as_of=AS_OF, lookback=None)
 
 
 @query(f"""WITH {_SCOPE}, {inside_sql('scope', 'ports')},
@@ -171,7 +173,7 @@ e AS (SELECT a, z, min(us) AS f, max(us) AS l, min(d) AS d, avg(cx) AS cx, avg(c
 n AS (SELECT mmsi, lon, lat FROM scope QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY reported_at DESC, position_id DESC) = 1)
 SELECT a AS mmsi_a, z AS mmsi_b, f AS started_at, CASE WHEN NOT {metres('p.lon', 'p.lat', 'q.lon', 'q.lat')} <= 1500 THEN l END AS ended_at, round(d, 2) AS min_distance, round(cx, 6) AS centroid_lon, round(cy, 6) AS centroid_lat FROM e JOIN n p ON p.mmsi = a JOIN n q ON q.mmsi = z""")
 def n3_sts_events(t):
-    out = visits.sts_events(t("positions"), t("ports"), as_of=AS_OF, max_speed_kn=5, max_distance_m=1500, min_duration="10m")
+    out = visits.sts_events(t("positions"), t("ports"), as_of=AS_OF, lookback=None, max_speed_kn=5, max_distance_m=1500, min_duration="10m")
     return out.select("mmsi_a", "mmsi_b", "started_at", "ended_at", F.round(F.col("min_distance").cast("double"), 2).alias("min_distance"), F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"))
 
 
@@ -339,9 +341,9 @@ def n26_list_geofences(t):
 
 def _alerts(t, **kw) -> DataFrame:
     p = t("positions")
-    crossings = visits.geofence_crossings(p, t("geofences"), as_of=AS_OF)
+    crossings = visits.geofence_crossings(p, t("geofences"), as_of=AS_OF, lookback=None)
     gaps = visits.detect_gaps(p, _calls(t), _no_gaps(t), as_of=AS_OF)
-    sts = visits.sts_events(p, t("ports"), as_of=AS_OF, max_speed_kn=5, max_distance_m=1500, min_duration="10m")
+    sts = visits.sts_events(p, t("ports"), as_of=AS_OF, lookback=None, max_speed_kn=5, max_distance_m=1500, min_duration="10m")
     none = t("vessels").where("false").select("mmsi", F.lit("").alias("program"), F.lit("").alias("reference"), F.col("first_seen_at").alias("matched_at"))
     return feeds.alerts(crossings, gaps, sts, none, **kw)
 

@@ -41,24 +41,39 @@ def within_boxes(messages: DataFrame, boxes: list[tuple[float, float, float, flo
     return messages.where(keep)
 
 
+def only(messages: DataFrame, mmsis: list[int] | None = None, types: list[int] | None = None) -> DataFrame:
+    """Only messages of the vessels and types named; all without names."""
+    if mmsis:
+        messages = messages.where(F.col("mmsi").isin(*mmsis))
+    return messages.where(F.col("message_type").isin(*types)) if types else messages
+
+
 def write_epoch(folder: str, last_cache: str) -> Callable[[DataFrame, int], None]:
-    """The steps of one micro-batch: flag duplicates, archive, positions, counters, last positions."""
+    """The steps of one micro-batch: flag duplicates, archive, positions, counters, vessels, last
+    positions. Rows lie in partitions by day of receipt, so that ``expire`` can drop them."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         flagged = ingest.dedup_messages(batch, _earlier(batch, f"{folder}/receipts", epoch), window=WINDOW).persist()
         try:
+            day = F.coalesce(F.date_format("received_at", "yyyy-MM-dd"), F.lit("0000-00-00"))
             save = lambda df, name, *by: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "epoch").parquet(f"{folder}/{name}")
-            save(flagged.select("id", "source", "message_type", "mmsi", "received_at", "reported_at", "payload", "is_duplicate"), "raw")
+            save(flagged.select("id", "source", "message_type", "mmsi", "received_at", "reported_at", "payload", "is_duplicate", day.alias("date")), "raw", "date")
             positions = ingest.to_positions(flagged).withColumn("position_id", F.xxhash64("mmsi", "reported_at"))
-            save(positions, "positions")
+            save(positions.withColumn("date", day), "positions", "date")
             save(ingest.rate_counters(flagged), "counters")
-            receipts = batch.where("received_at is not null").select(ingest.fingerprint(batch).alias("fingerprint"), F.col("received_at").alias("first_seen")).distinct()
-            save(receipts.withColumn("date", F.date_format("first_seen", "yyyy-MM-dd")), "receipts", "date")  # days that have passed go by ``expire``
-            # the cache is versioned by epoch: a retry starts from the version before it
-            before = spark.read.parquet(f"{last_cache}/v={epoch - 1}") if epoch and _exists(spark, f"{last_cache}/v={epoch - 1}") else None
-            ingest.last_positions(positions, before).write.mode("overwrite").parquet(f"{last_cache}/v={epoch}")
+            # receipts that opened a window of their fingerprint
+            opened = flagged.where("received_at is not null and not is_duplicate")
+            receipts = opened.select(ingest.fingerprint(opened).alias("fingerprint"), F.col("received_at").alias("first_seen"), day.alias("date")).distinct()
+            save(receipts, "receipts", "date")
+            # vessels and cache are versioned by epoch: a retry starts from the version before it
+            known = _version(spark, f"{folder}/vessels", epoch)
+            none = spark.createDataFrame([], "mmsi long, name string, first_seen_at timestamp, last_seen_at timestamp")
+            ingest.upsert_vessels(none if known is None else known, flagged.where("mmsi > 0")).write.mode("overwrite").parquet(f"{folder}/vessels/v={epoch}")
+            ingest.last_positions(positions, _version(spark, last_cache, epoch)).write.mode("overwrite").parquet(f"{last_cache}/v={epoch}")
+            for path in (f"{folder}/vessels", last_cache):
+                _drop(spark, f"{path}/v={epoch - 2}")
         finally:
             flagged.unpersist()
             batch.unpersist()
@@ -66,8 +81,24 @@ def write_epoch(folder: str, last_cache: str) -> Callable[[DataFrame, int], None
     return run
 
 
+def _version(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """What the epoch before left; None for the first. A missing version is an error, since to
+    start from nothing would lose what was known."""
+    if epoch == 0:
+        return None
+    before = f"{path}/v={epoch - 1}"
+    if not _exists(spark, before):
+        raise RuntimeError(f"{before} is missing")
+    return spark.read.parquet(before)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _earlier(batch: DataFrame, path: str, epoch: int) -> DataFrame | None:
-    """(fingerprint, first_seen) of the receipts of earlier epochs that can be within the window of the batch's."""
+    """(fingerprint, first_seen) of the windows opened in earlier epochs that can hold one of the batch's receipts."""
     spark = batch.sparkSession
     at = F.unix_micros("received_at")
     low, high = batch.agg(F.min(at), F.max(at)).first()
