@@ -130,10 +130,12 @@ def n17_enrich_vessels(t):
 
 
 @query("""SELECT epoch_us(date_trunc('hour', reported_at)) AS bucket, mmsi, count(*) AS position_count, round(avg(CAST(sog AS DOUBLE)), 4) AS avg_sog, max(sog) AS max_sog, count(*) AS vertices,
-  round(arg_min(lon, (reported_at, lon, lat)), 6) AS first_lon FROM positions GROUP BY ALL""")
+  string_agg(CAST(CAST(round(lon * 1000000) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round(lat * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY reported_at, lon NULLS FIRST, lat NULLS FIRST) AS track FROM positions GROUP BY ALL""")
 def n16_voyage_hourly(t):
     out = profile.voyage_hourly(t("positions"))
-    return out.select("bucket", "mmsi", "position_count", F.round("avg_sog", 4).alias("avg_sog"), "max_sog", F.size("track").cast("long").alias("vertices"), F.round(F.col("track")[0]["lon"], 6).alias("first_lon"))
+    micro = lambda v: F.round(v * 1000000).cast("long").cast("string")
+    line = F.array_join(F.transform("track", lambda p: F.concat(micro(p["lon"]), F.lit(" "), micro(p["lat"]))), ",")
+    return out.select("bucket", "mmsi", "position_count", F.round("avg_sog", 4).alias("avg_sog"), "max_sog", F.size("track").cast("long").alias("vertices"), line.alias("track"))
 
 
 # -- detectors ---------------------------------------------------------------------
@@ -254,30 +256,33 @@ def jaccard(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE))"
 
 
+def _listed(t) -> DataFrame:
+    listed = t("ports").select(F.col("id").alias("ent_num"), F.col("name").alias("sdn_name"), F.col("un_locode").alias("call_sign"))
+    return similar_text.watch_list_matches(t("vessels"), listed, as_of=AS_OF, threshold=0.15)
+
+
 @query(f"""WITH a AS (SELECT mmsi, name, call_sign, {grams('name')} AS g FROM vessels), b AS (SELECT id, name, un_locode, {grams('name')} AS h FROM ports),
 s AS (SELECT mmsi, id, CASE WHEN call_sign <> '' AND call_sign = un_locode THEN 1.0 WHEN len(g) > 0 AND len(h) > 0 THEN {jaccard('g', 'h')} ELSE 0 END AS s FROM a JOIN b ON true)
 SELECT mmsi, CAST(id AS VARCHAR) AS reference, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 5) AS match_score FROM s WHERE s > 0.15""")
 def n10_sanctions_matches(t):
-    listed = t("ports").select(F.col("id").alias("ent_num"), F.col("name").alias("sdn_name"), F.col("un_locode").alias("call_sign"))
-    out = similar_text.watch_list_matches(t("vessels"), listed, as_of=AS_OF, threshold=0.15)
-    return out.select("mmsi", "reference", F.round(F.col("match_score").cast("double"), 5).alias("match_score"))
+    return _listed(t).select("mmsi", "reference", F.round(F.col("match_score").cast("double"), 5).alias("match_score"))
 
 
 _DEST = f"""d AS (SELECT DISTINCT destination FROM messages0), nrm AS (SELECT destination, upper(trim(destination)) AS n FROM d),
-tk AS (SELECT destination, unnest(list_concat(list_filter(string_split_regex(n, '[^A-Z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({hints.STOP!r}, w)), [regexp_replace(n, '[^A-Z0-9]', '', 'g')])) AS token FROM nrm WHERE n NOT IN ({', '.join(f"'{j}'" for j in hints.JUNK)})),
-tok AS (SELECT DISTINCT destination, token FROM tk WHERE token <> ''),
+tl AS (SELECT destination, list_concat(list_filter(string_split_regex(n, '[^A-Z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({hints.STOP!r}, w)), [regexp_replace(n, '[^A-Z0-9]', '', 'g')]) AS l FROM nrm WHERE n NOT IN ({', '.join(f"'{j}'" for j in hints.JUNK)})),
+tk AS (SELECT destination, l, unnest(range(1, len(l) + 1)) AS i FROM tl), tok AS (SELECT destination, l[i] AS token, min(i) AS pos FROM tk WHERE l[i] <> '' GROUP BY ALL),
 u AS (SELECT DISTINCT token, {grams('token')} AS g FROM tok), pg AS (SELECT id, name, un_locode, {grams('name')} AS h FROM ports),
-c1 AS (SELECT token, max(0.95) AS c FROM u JOIN ports ON upper(un_locode) = token WHERE length(token) = 5 GROUP BY token),
-c2 AS (SELECT token, max({jaccard('g', 'h')}) AS c FROM u JOIN pg ON len(list_intersect(g, h)) > 0 GROUP BY token HAVING max({jaccard('g', 'h')}) >= 0.4),
-c3 AS (SELECT token, max(0.75) AS c FROM u JOIN ports ON name ILIKE '%' || array_to_string(string_split(token, ''), '%') || '%' WHERE length(token) BETWEEN 3 AND 6 AND length(token) - length(translate(token, 'AEIOU', '')) <= 1 GROUP BY token),
-best AS (SELECT destination, max(c) AS c FROM tok JOIN (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) USING (token) GROUP BY destination)"""
+c1 AS (SELECT token, 0.95 AS c, min(id) AS port_id, 0 AS probe FROM u JOIN ports ON upper(un_locode) = token WHERE length(token) = 5 GROUP BY token),
+c2 AS (SELECT token, c, id AS port_id, 1 AS probe FROM (SELECT token, id, name, {jaccard('g', 'h')} AS c FROM u JOIN pg ON len(list_intersect(g, h)) > 0) WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY token ORDER BY c DESC, length(name), id) = 1),
+c3 AS (SELECT token, 0.75 AS c, arg_min(id, (length(name), id)) AS port_id, 2 AS probe FROM u JOIN ports ON name ILIKE '%' || array_to_string(string_split(token, ''), '%') || '%' WHERE length(token) BETWEEN 3 AND 6 AND length(token) - length(translate(token, 'AEIOU', '')) <= 1 GROUP BY token),
+best AS (SELECT destination, c, port_id FROM tok JOIN (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) USING (token) QUALIFY row_number() OVER (PARTITION BY destination ORDER BY c DESC, pos, probe) = 1)"""
 
 
 @query(f"""WITH {DECODED.replace('messages AS', 'messages1 AS')}, messages0 AS (SELECT DISTINCT mmsi, trim(destination) AS destination FROM messages1 WHERE id IN (SELECT id FROM raw_messages WHERE message_type = 5 AND epoch_us(received_at) <= epoch_us({T})) AND trim(destination) <> ''), {_DEST}
-SELECT mmsi, destination, best.c IS NOT NULL AS resolved, round(coalesce(best.c, 0), 5) AS confidence FROM messages0 LEFT JOIN best USING (destination)""")
+SELECT mmsi, destination, best.port_id, round(coalesce(best.c, 0), 5) AS confidence FROM messages0 LEFT JOIN best USING (destination)""")
 def n11_destination_hints(t):
     out = hints.destination_hints(t("raw_messages"), t("ports"), as_of=AS_OF, lookback=None)
-    return out.select("mmsi", "destination", F.col("port_id").isNotNull().alias("resolved"), F.round(F.col("confidence").cast("double"), 5).alias("confidence"))
+    return out.select("mmsi", "destination", "port_id", F.round(F.col("confidence").cast("double"), 5).alias("confidence"))
 
 
 @query()
@@ -310,12 +315,14 @@ def n15_vessel_search(t):
 
 # -- feeds -------------------------------------------------------------------------
 @query(f"""WITH {_SCOPE}, l AS (SELECT mmsi, lon, lat FROM positions QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY reported_at DESC, position_id DESC) = 1),
-o AS (SELECT e.mmsi, count(*) AS n, min(o.canonical) AS f FROM vessel_operators e JOIN operators o ON o.id = e.operator_id GROUP BY e.mmsi)
-SELECT v.mmsi, v.name, l.lon, l.lat, o.n AS operators, o.f AS first_operator FROM vessels v LEFT JOIN l USING (mmsi) LEFT JOIN o USING (mmsi)""")
+o AS (SELECT e.mmsi, count(*) AS n, min(o.canonical) AS f FROM vessel_operators e JOIN operators o ON o.id = e.operator_id GROUP BY e.mmsi),
+w AS (SELECT mmsi, count(*) AS entries, min(reference) AS reference FROM ({ORACLES["n10_sanctions_matches"]}) GROUP BY mmsi),
+a AS (SELECT mmsi, max(epoch_us(reported_at)) % 1000 / 1000.0 AS score FROM positions GROUP BY mmsi)
+SELECT v.mmsi, v.name, l.lon, l.lat, o.n AS operators, o.f AS first_operator, w.entries, w.reference, a.score AS anomaly_score FROM vessels v LEFT JOIN l USING (mmsi) LEFT JOIN o USING (mmsi) LEFT JOIN w USING (mmsi) LEFT JOIN a USING (mmsi)""")
 def n22_vessel_detail(t):
-    none = t("vessels").where("false").select("mmsi", F.lit("").alias("program"), F.lit("").alias("reference"), F.lit(0.0).alias("match_score"), F.col("first_seen_at").alias("computed_at"), F.lit(0.0).alias("score"))
-    out = feeds.vessel_detail(t("vessels"), ingest.last_positions(t("positions")), none, t("vessel_operators"), t("operators"), none)
-    return out.select("mmsi", "name", F.col("last_position.lon").alias("lon"), F.col("last_position.lat").alias("lat"), F.when(F.col("operators").isNotNull(), F.size("operators")).cast("long").alias("operators"), F.col("operators")[0]["operator"].alias("first_operator"))
+    scores = t("positions").select("mmsi", F.col("reported_at").alias("computed_at"), (F.unix_micros("reported_at") % 1000 / 1000.0).alias("score"))  # a score per fix, of which the latest is shown
+    out = feeds.vessel_detail(t("vessels"), ingest.last_positions(t("positions")), _listed(t), t("vessel_operators"), t("operators"), scores)
+    return out.select("mmsi", "name", F.col("last_position.lon").alias("lon"), F.col("last_position.lat").alias("lat"), F.when(F.col("operators").isNotNull(), F.size("operators")).cast("long").alias("operators"), F.col("operators")[0]["operator"].alias("first_operator"), F.when(F.col("sanctions").isNotNull(), F.size("sanctions")).cast("long").alias("entries"), F.array_min(F.transform("sanctions", lambda x: x["reference"])).alias("reference"), "anomaly_score")
 
 
 @query("""SELECT lon, lat, sog, cog, heading, nav_status, epoch_us(reported_at) AS reported_at FROM positions WHERE mmsi = 799990017 AND epoch_us(reported_at) BETWEEN epoch_us(TIMESTAMP '2024-01-03 00:00:00') AND epoch_us(TIMESTAMP '2024-01-04 00:00:00')
@@ -344,11 +351,12 @@ def _alerts(t, **kw) -> DataFrame:
     crossings = visits.geofence_crossings(p, t("geofences"), as_of=AS_OF, lookback=None)
     gaps = visits.detect_gaps(p, _calls(t), _no_gaps(t), as_of=AS_OF)
     sts = visits.sts_events(p, t("ports"), as_of=AS_OF, lookback=None, max_speed_kn=5, max_distance_m=1500, min_duration="10m")
-    none = t("vessels").where("false").select("mmsi", F.lit("").alias("program"), F.lit("").alias("reference"), F.col("first_seen_at").alias("matched_at"))
-    return feeds.alerts(crossings, gaps, sts, none, **kw)
+    return feeds.alerts(crossings, gaps, sts, _listed(t), **kw)
 
 
-@query()
+@query(f"""SELECT * FROM (SELECT 'geofence' AS type, mmsi, occurred_at AS "at" FROM ({ORACLES["n2_geofence_crossings"]}) UNION ALL SELECT 'gap', mmsi, last_position FROM ({ORACLES["n4_detect_gaps"]})
+UNION ALL SELECT 'sts', mmsi_a, started_at FROM ({ORACLES["n3_sts_events"]}) UNION ALL SELECT 'sanctions', mmsi, epoch_us({T}) FROM ({ORACLES["n10_sanctions_matches"]}))
+WHERE "at" > epoch_us(TIMESTAMP '2024-01-11 12:00:00') ORDER BY "at" DESC, type, mmsi LIMIT 100""")
 def n27_alerts(t):
     return _alerts(t, since="2024-01-11 12:00:00").select("type", "mmsi", "at")
 
@@ -380,10 +388,57 @@ def n30_route_alerts(t):
 
 
 @query("""WITH b AS (SELECT mmsi, name, ship_type FROM vessels WHERE epoch_us(first_seen_at) < epoch_us(TIMESTAMP '2024-01-08 00:00:00')), a AS (SELECT mmsi, CASE WHEN ship_type = 70 THEN 'X' ELSE name END AS name, ship_type FROM vessels WHERE ship_type <> 80)
-SELECT coalesce(a.mmsi, b.mmsi) AS mmsi, CASE WHEN b.mmsi IS NULL THEN 'I' WHEN a.mmsi IS NULL THEN 'D' ELSE 'U' END AS action FROM a FULL JOIN b ON a.mmsi = b.mmsi WHERE a.mmsi IS NULL OR b.mmsi IS NULL OR a.name IS DISTINCT FROM b.name OR a.ship_type IS DISTINCT FROM b.ship_type""")
+SELECT coalesce(a.mmsi, b.mmsi) AS mmsi, CASE WHEN a.mmsi IS NULL THEN b.name ELSE a.name END AS name, CAST(CASE WHEN a.mmsi IS NULL THEN b.ship_type ELSE a.ship_type END AS INT) AS ship_type, CASE WHEN b.mmsi IS NULL THEN 'I' WHEN a.mmsi IS NULL THEN 'D' ELSE 'U' END AS action FROM a FULL JOIN b ON a.mmsi = b.mmsi WHERE a.mmsi IS NULL OR b.mmsi IS NULL OR a.name IS DISTINCT FROM b.name OR a.ship_type IS DISTINCT FROM b.ship_type""")
 def n31_change_feed(t):
     v = t("vessels")
     before = v.where(F.col("first_seen_at") < F.lit("2024-01-08 00:00:00").cast("timestamp")).select("mmsi", "name", "ship_type")
     after = v.where("ship_type <> 80").select("mmsi", F.when(F.col("ship_type") == 70, "X").otherwise(F.col("name")).alias("name"), "ship_type")
     out = feeds.change_feed(before, after, ["mmsi"], table="vessels")
-    return out.select(F.get_json_object("data", "$.mmsi").cast("long").alias("mmsi"), "action")
+    return out.select(F.get_json_object("data", "$.mmsi").cast("long").alias("mmsi"), F.get_json_object("data", "$.name").alias("name"), F.get_json_object("data", "$.ship_type").cast("int").alias("ship_type"), "action")
+
+
+# -- further reads ------------------------------------------------------------------
+@query("""WITH l AS (SELECT label, arg_max(CAST(embedding AS DOUBLE[]), vec_id) AS e FROM embeddings GROUP BY label), g AS (SELECT e AS target FROM l WHERE label = 3)
+SELECT CAST(label AS BIGINT) AS mmsi, 'v' || CAST(label AS VARCHAR) AS name, round(list_cosine_similarity(e, target), 6) AS similarity FROM l, g WHERE label <> 3 ORDER BY list_cosine_similarity(e, target) DESC, label LIMIT 10""")
+def n9_similar_to_one(t):
+    vessels = t("embeddings").select(F.col("label").cast("long").alias("mmsi"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("name")).distinct()
+    return profile.similar_vessels(_vectors(t), vessels, 3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT * FROM ({ORACLES['n3_sts_events']}) WHERE started_at > epoch_us(TIMESTAMP '2024-01-03 00:00:00') ORDER BY started_at DESC, mmsi_a, mmsi_b LIMIT 100")
+def n34_sts_feed(t):
+    out = feeds.sts_feed(visits.sts_events(t("positions"), t("ports"), as_of=AS_OF, lookback=None, max_speed_kn=5, max_distance_m=1500, min_duration="10m"), since="2024-01-03 00:00:00")
+    return out.select("mmsi_a", "mmsi_b", "started_at", "ended_at", F.round(F.col("min_distance").cast("double"), 2).alias("min_distance"), F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"))
+
+
+@query(f"SELECT mmsi, event_type, occurred_at, lon, lat FROM ({ORACLES['n2_geofence_crossings']}) WHERE geofence_id = 7 ORDER BY occurred_at DESC, mmsi, event_type LIMIT 100")
+def n35_geofence_history(t):
+    return feeds.geofence_history(visits.geofence_crossings(t("positions"), t("geofences"), as_of=AS_OF, lookback=None), 7)
+
+
+_NEW = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
+
+
+@query(f"""SELECT id, name, description, polygon, epoch_us(created_at) AS created_at, active FROM geofences UNION ALL SELECT CAST(max(id) + 1 AS INT), 'new', NULL, '{_NEW}', epoch_us({T}), true FROM geofences""")
+def n36_create_geofence(t):
+    return feeds.create_geofence(t("geofences"), "new", _NEW, created_at=AS_OF)
+
+
+_EARLIER = "TIMESTAMP '2024-01-08 00:00:00'"
+_OLD_CALLS = ORACLES["n1_port_calls"].replace(f"epoch_us({T})", f"epoch_us({_EARLIER})")
+
+
+@query(f"""WITH o AS ({_OLD_CALLS}), n AS ({ORACLES["n1_port_calls"]})
+SELECT mmsi, port_id, arrived_at, CASE WHEN n.positions IS NULL THEN o.departed_at ELSE n.departed_at END AS departed_at, least(o.min_sog, n.min_sog) AS min_sog, coalesce(n.positions, o.positions) AS positions FROM o FULL JOIN n USING (mmsi, port_id, arrived_at)""")
+def n37_reconcile_calls(t):
+    old = visits.port_calls(t("positions"), t("ports"), as_of="2024-01-08 00:00:00", lookback=None)
+    return visits.reconcile_calls(old, _calls(t))
+
+
+@query("""SELECT 'U' AS action, 'vessels' AS "table", CAST(mmsi AS VARCHAR) AS mmsi, name FROM vessels""")
+def n38_decode_changes(t):
+    cell = lambda n: F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value"))
+    entry = lambda name: F.to_json(F.struct(F.lit("U").alias("action"), F.lit("public").alias("schema"), F.lit(name).alias("table"), F.array(cell("mmsi"), cell("name")).alias("columns")))
+    log = t("vessels").select(F.explode(F.array(entry("vessels"), entry("other"), F.lit("no entry"))).alias("value"))
+    out = feeds.decode_changes(log, ["vessels"])
+    return out.select("action", "table", F.col("data")["mmsi"].alias("mmsi"), F.col("data")["name"].alias("name"))
