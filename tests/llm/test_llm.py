@@ -397,7 +397,7 @@ def test_models_and_background_decide(spark):
 
 
 def test_tokens():
-    assert subjects.tokens("commit abc\nreadDrought sprint_number ab f00d Wheat\nindex 12..34") == ["read", "drought", "sprint", "number", "wheat"]
+    assert subjects.tokens("commit 0123abcd\nreadDrought sprint_number ab f00d Wheat\nindex 12..34") == ["read", "drought", "sprint", "number", "wheat"]
 
 
 def test_only_headers_and_addresses_are_no_text():
