@@ -105,6 +105,14 @@ def linked(spark, rows):
     return {(r.x, r.y) for r in names._judged(reps, names._candidates(reps)).collect()}
 
 
+def test_expanded_names_are_not_broadcast(spark, tmp_path):
+    operators(spark, NAMES).write.parquet(f"{tmp_path}/operators")  # only a file has an estimate
+    reps = names.cut(names.readings(spark.read.parquet(f"{tmp_path}/operators")))
+    met = names._candidates(reps)
+    for df in (met, names._judged(reps, met)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splitting_hot_names_loses_no_pair(spark, monkeypatch):
     partners = "HORIZON HORYZEN HORIZN HOR. HO. RUSZOLNEL RUSZ. RUZSOLMEL TIPEMHAL TIPEMAHL TIBEMHOL".split()
     given = "Theodore Theo Ted T. Edward Ed E. Margaret Peggy M. Anna".split()

@@ -55,3 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
     consumers share one computation and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Marks ``df`` so that joins with it are shuffled, whatever their estimated size: where a
+    row becomes many, or a packed file wide rows, the estimate is far below what a broadcast
+    would bring to the driver."""
+    return df.hint("merge")
