@@ -213,3 +213,19 @@ def test_cover_rank(words):
     rank = profile._cover_rank(words, [1.0] * len(words), ["a", "b"])
     assert (rank > 0) == ({"a", "b"} <= set(words)) and rank <= len(words)
     assert profile._cover_rank(["a", "b"], [1.0, 1.0], ["a", "b"]) > profile._cover_rank(["a", "c", "b"], [1.0] * 3, ["a", "b"])
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    ids = list(range(300))
+    random.Random(3).shuffle(ids)
+    out = graph.components(spark.range(300), spark.createDataFrame(list(zip(ids, ids[1:])), "x long, y long"))
+    assert {r.root for r in out.collect()} == {0}
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**400
+
+
+def test_expanded_trigrams_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "NORD STAR"), (2, "NORTH STAR")], "i long, n string").write.parquet(f"{tmp_path}/names")  # only a file has an estimate
+    left = spark.read.parquet(f"{tmp_path}/names")
+    out = similar_text.similar(left, left.selectExpr("i as j", "n as m"), left_key="i", left_text="n", right_key="j", right_text="m", at_least=0.5)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert got(out.select("i", "j")) == [(1, 1), (1, 2), (2, 1), (2, 2)]

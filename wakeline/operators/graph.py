@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.workspace import cut
+from wakeline.workspace import cut, cut_round
 
 
 def descendants(operators: DataFrame, roots: DataFrame | None = None, *, max_depth: int = 10) -> DataFrame:
@@ -75,7 +75,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(linked, both["y"] == linked["id"]).groupBy("x").agg(F.min("root").alias("least"))
         step = linked.join(near, linked["id"] == near["x"], "left").select("id", F.least("root", F.coalesce("least", "root")).alias("new"), "root")
         jump = step.select(F.col("id").alias("at"), F.col("new").alias("to"))
-        moved = cut(step.join(jump, F.col("new") == F.col("at"), "left").select("id", F.least("new", F.coalesce("to", "new")).alias("next"), "root"))
+        moved = cut_round(step.join(jump, F.col("new") == F.col("at"), "left").select("id", F.least("new", F.coalesce("to", "new")).alias("next"), "root"))
         linked = moved.select("id", F.col("next").alias("root"))
         if not moved.where("next <> root").limit(1).count():
             break

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.graph import components
 from wakeline.operators.similar_text import similar
-from wakeline.workspace import cut
+from wakeline.workspace import cut, shuffled
 
 
 def resolve_operators(names: DataFrame, operators: DataFrame, *, match: float = 0.5, review: float = 0.3) -> DataFrame:
@@ -29,11 +29,10 @@ def resolve_operators(names: DataFrame, operators: DataFrame, *, match: float =
     first = names.where("trim(name) <> ''").groupBy("name").agg(F.min("seq").alias("seq"))
     forms = operators.select("id", F.explode(F.array_union(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
     known = forms.groupBy(F.lower("form").alias("low")).agg(F.min("id").alias("operator_id"))
-    exact = first.withColumn("low", F.lower("name")).join(known, "low").select("name", "operator_id")
+    exact = first.withColumn("low", F.lower("name")).join(shuffled(known), "low").select("name", "operator_id")
     rest = cut(first.join(exact, "name", "left_anti"))
-    near = similar(rest, operators.select("id", "canonical"), left_key="name", left_text="name", right_key="id", right_text="canonical", at_least=review)
-    best = near.groupBy("name").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b")).select("name", F.col("b.similarity").alias("similarity"), (-F.col("b.neg")).alias("operator_id"))
-    fold = best.where(F.col("similarity") >= match)
+    near = similar(rest, operators.select("id", "canonical"), left_key="name", left_text="name", right_key="id", right_text="canonical", at_least=match)
+    fold = cut(near.groupBy("name").agg(F.max(F.struct("similarity", (-F.col("id")).alias("neg"))).alias("b")).select("name", F.col("b.similarity").alias("similarity"), (-F.col("b.neg")).alias("operator_id")))
     fresh = cut(rest.join(fold, "name", "left_anti"))
     other = fresh.select(F.col("seq").alias("y"), F.col("name").alias("name_y"))
     alike = similar(fresh, other, left_key="seq", left_text="name", right_key="y", right_text="name_y", at_least=match)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import text as T
+from wakeline.workspace import shuffled
 
 
 def similar(left: DataFrame, right: DataFrame, *, left_key: str, left_text: str, right_key: str, right_text: str, at_least: float) -> DataFrame:
@@ -25,13 +26,13 @@ def similar(left: DataFrame, right: DataFrame, *, left_key: str, left_text: str,
     spread = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(name: str) -> DataFrame:
-        rows = sides[name].select(f"{name}_key", "grams", F.explode("grams").alias("g")).join(spread, "g")
+        rows = sides[name].select(f"{name}_key", "grams", F.explode("grams").alias("g")).join(shuffled(spread), "g")
         ordered = rows.groupBy(f"{name}_key", "grams").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
         keep = F.size("grams") - F.ceil(F.lit(at_least) * F.size("grams")).cast("int") + 1
         return ordered.select(f"{name}_key", F.col("grams").alias(f"{name}_grams"), F.explode(F.slice("o", F.lit(1), F.greatest(keep, F.lit(1)))).alias("p")).select(f"{name}_key", f"{name}_grams", "p.g")
 
     score = T.overlap(F.col("l_grams"), F.col("r_grams"))
-    met = prefix("l").join(prefix("r"), "g")
+    met = prefix("l").join(shuffled(prefix("r")), "g")
     sizes = (F.size("l_grams") >= at_least * F.size("r_grams")) & (F.size("r_grams") >= at_least * F.size("l_grams"))
     found = met.where(sizes).select("l_key", "r_key", score.alias("similarity")).where(F.col("similarity") >= at_least)
     return found.groupBy("l_key", "r_key").agg(F.max("similarity").alias("similarity")).select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key), "similarity")

@@ -57,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """As ``cut``, for a table that is joined into its own next version. A checkpoint keeps the
+    estimated size, and joins multiply estimates, so the number would double its digits every
+    round until it fills the driver; here it is let go."""
+    spark, written = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """Marks ``df`` so that joins with it are shuffled, whatever their estimated size: where a
     row becomes many, or a packed file wide rows, the estimate is far below what a broadcast
